@@ -320,13 +320,13 @@ stop AS (SELECT unnest([{_quoted(ENGLISH + DOMAIN)}]) AS word),
 words AS (
   SELECT doc_id, label, clean,
          list_filter(regexp_extract_all(clean, '[a-z0-9]{{2,}}'),
-                     w -> NOT list_contains([{_quoted(ENGLISH + DOMAIN)}], w)) AS w
+                     lambda w: NOT list_contains([{_quoted(ENGLISH + DOMAIN)}], w)) AS w
   FROM docs),
 grams AS (
   SELECT doc_id, label, unnest(w) AS term FROM words
   UNION ALL
   SELECT doc_id, label, unnest(list_transform(
-    range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) FROM words),
+    range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM words),
 terms AS (SELECT doc_id, label, term, count(*) AS tf FROM grams GROUP BY ALL),
 vocab AS (
   SELECT term, count(*) AS df, sum(tf)::bigint AS total FROM terms GROUP BY term

@@ -10,6 +10,7 @@ NUMBER_PATTERN = (
     r"^[+-]?(([0-9]+(_[0-9]+)*)(\.([0-9]+(_[0-9]+)*)?)?|\.[0-9]+(_[0-9]+)*)"
     r"([eE][+-]?[0-9]+(_[0-9]+)*)?$"
 )
+FALSY_JSON = r'^(null|false|""|\[\]|\{\}|-?0(\.0*)?([eE][+-]?[0-9]+)?)$'
 INFINITY_PATTERN = r"(?i)^[+-]?inf(inity)?$"
 
 
@@ -57,17 +58,7 @@ def string_or(c: Column, fallback: Column) -> Column:
 
 def truthy_variant(c: Column) -> Column:
     """Any non-empty string, non-zero number, true or non-empty container is true."""
-    kind = F.schema_of_variant(c)
-    text = F.try_variant_get(c, "$", "string")
-    return F.coalesce(
-        F.when(kind == "VOID", F.lit(False))
-        .when(kind == "BOOLEAN", F.try_variant_get(c, "$", "boolean"))
-        .when(kind == "STRING", F.length(text) > 0)
-        .when(kind.startswith("ARRAY") | kind.startswith("OBJECT"),
-              ~F.to_json(c).isin("[]", "{}"))
-        .otherwise(F.try_variant_get(c, "$", "double") != 0.0),
-        F.lit(False),
-    )
+    return F.coalesce(~F.to_json(c).rlike(FALSY_JSON), F.lit(False))
 
 
 def strict_flag_variant(c: Column) -> Column:

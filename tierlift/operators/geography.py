@@ -39,6 +39,7 @@ def region_statistics(entities: DataFrame,
             "median_event_count": ("event_count", 0.5),
         },
         single_pass_rows,
+        at_most_rows_of=entities,
     ).where(F.col("entity_count") >= min_entities)
 
 
@@ -57,6 +58,7 @@ def locality_statistics(entities: DataFrame,
         ],
         {"median_metric": ("metric", 0.5), "median_rate": ("rate", 0.5)},
         single_pass_rows,
+        at_most_rows_of=entities,
     ).where(F.col("entity_count") >= min_entities)
 
 

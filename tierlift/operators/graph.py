@@ -307,4 +307,5 @@ def subgraph(edges: DataFrame, members: DataFrame, min_weight: float) -> DataFra
     heavy = edges.where(F.col("weight") >= min_weight)
     return (
         heavy.join(members.select(F.col("node").alias("source")), "source", "left_semi")
-        .join(members.select(F.col("node").alias("target")), "target", "left_semi"))
+        .join(members.select(F.col("node").alias("target")), "target", "left_semi")
+        .select("source", "target", "weight"))

@@ -89,6 +89,7 @@ def item_statistics(
             "median_item_count": ("item_count", 0.5),
         },
         single_pass_rows,
+        at_most_rows_of=links,
     )
     return (
         stats.where(F.col("entity_count") >= min_frequency)

@@ -26,8 +26,9 @@ def record_counts(records: DataFrame) -> DataFrame:
                 .agg(rows).scalar())
 
     entity = clean_string(F.col("entity_id"))
-    item_ids = (records.select(F.explode("items").alias("s"))
-                .select(clean_float(F.col("s.item_id")).try_cast("bigint").alias("v"))
+    # Spellings are made distinct before the costlier parsing.
+    item_ids = (records.select(F.explode("items.item_id").alias("raw")).distinct()
+                .select(clean_float(F.col("raw")).try_cast("bigint").alias("v"))
                 .where(F.col("v").isNotNull()).distinct().agg(rows).scalar())
     return records.agg(
         rows.alias("total_records"),

@@ -23,9 +23,14 @@ def aggregate_with_quantiles(
     aggregates: list[Column],
     quantiles: dict[str, Spec],
     single_pass_rows: int = SINGLE_PASS_ROWS,
+    at_most_rows_of: DataFrame | None = None,
 ) -> DataFrame:
-    """``groupBy(keys).agg(aggregates)`` plus exact quantile columns ``{out: (column, q)}``."""
-    if df.limit(single_pass_rows + 1).count() <= single_pass_rows:
+    """``groupBy(keys).agg(aggregates)`` plus exact quantile columns ``{out: (column, q)}``.
+
+    ``at_most_rows_of`` names a table known to have at least as many rows as ``df`` and
+    cheaper to count, such as a stored table ``df`` was joined from.
+    """
+    if (df if at_most_rows_of is None else at_most_rows_of).count() <= single_pass_rows:
         exact = [F.percentile(F.col(c), F.lit(q)).alias(out)
                  for out, (c, q) in quantiles.items()]
         return df.groupBy(*keys).agg(*aggregates, *exact)
@@ -116,4 +121,4 @@ def quantile_value(df: DataFrame, column: str, q: float,
     """One global quantile as a scalar subquery; nulls count as zero."""
     filled = df.select(F.coalesce(F.col(column), F.lit(0.0)).alias("_v"))
     return aggregate_with_quantiles(
-        filled, [], [], {"q": ("_v", q)}, single_pass_rows).scalar()
+        filled, [], [], {"q": ("_v", q)}, single_pass_rows, df).scalar()

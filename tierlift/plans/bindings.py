@@ -17,7 +17,7 @@ from tierlift.operators.item_stats import item_statistics
 from tierlift.operators.normalise import with_label
 from tierlift.operators.bundles import mine_bundles
 from tierlift.functions.text import normalise_text
-from tierlift.session import cut_lineage
+from tierlift.session import cut_lineage, spread
 from tierlift.sources.raw_json import type_records
 from tierlift.sources.tables import read_table
 
@@ -113,14 +113,15 @@ def bundles(spark: SparkSession, sf: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     """All documents in normal form, without a label."""
-    return table(spark, sf, "documents", "doc_id", "text").select(
+    return spread(table(spark, sf, "documents", "doc_id", "text"), "doc_id").select(
         "doc_id", F.lit(False).alias("label"), normalise_text(F.col("text")).alias("clean"))
 
 
 def labelled_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with a quality label; quality 1 is the label."""
     marks = table(spark, sf, "labels", "doc_id", "quality")
-    return table(spark, sf, "documents", "doc_id", "text").join(marks, "doc_id").select(
+    texts = spread(table(spark, sf, "documents", "doc_id", "text"), "doc_id")
+    return texts.join(marks, "doc_id").select(
         "doc_id", (F.col("quality") == 1).alias("label"),
         normalise_text(F.col("text")).alias("clean"))
 
@@ -131,7 +132,8 @@ def document_json(spark: SparkSession, sf: str) -> DataFrame:
     Words of the whole text are the items (words of four or more characters are
     explicit) and lines are the children.
     """
-    docs = table(spark, sf, "documents", "doc_id", "text", "lang", "source", "n_chars")
+    docs = spread(table(
+        spark, sf, "documents", "doc_id", "text", "lang", "source", "n_chars"), "doc_id")
     n_lines = F.size(F.split("text", "\n")).cast("string")
     record = F.struct(
         F.concat("source", F.lit("-"), "lang").alias("user_id"),
@@ -166,8 +168,12 @@ def raw_variants(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def records(spark: SparkSession, sf: str) -> DataFrame:
-    """Typed raw records, keyed by source and language (so keys repeat)."""
-    return type_records(raw_variants(spark, sf).drop("doc_id"))
+    """Typed raw records, keyed by source and language (so keys repeat).
+
+    Staged once as a stored table: later passes then read only the columns they need.
+    """
+    return _once(spark, sf, "records",
+                 lambda: type_records(raw_variants(spark, sf).drop("doc_id")), cut_lineage)
 
 
 def document_records(spark: SparkSession, sf: str) -> DataFrame:

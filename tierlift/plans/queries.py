@@ -199,8 +199,7 @@ def dedup_conflicts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def record_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    staged = cut_lineage(b.records(spark, sf))
-    best = normalise.keep_best(staged, "entity_id", clean.clean_float(F.col("metric")),
+    best = normalise.keep_best(b.records(spark, sf), "entity_id", clean.clean_float(F.col("metric")),
                                F.col("n_items"), ["file", "pos"])
     return best.select("entity_id", "file", "pos", "n_items",
                        clean.float_or_zero(F.col("metric")).alias("metric"))
@@ -625,8 +624,7 @@ def bad_files(spark: SparkSession, sf: str) -> DataFrame:
                         F.col("json").alias("value"))
     cut = docs.select(F.concat(F.lit("cut-"), F.col("doc_id").cast("string")).alias("name"),
                       F.expr("substr(json, 1, length(json) - 1)").alias("value"))
-    both = whole.unionByName(cut).groupBy("name").agg(F.first("value").alias("value"))
-    pages = both.select(F.col("name").alias("file"), F.try_parse_json("value").alias("doc"))
+    pages = whole.unionByName(cut).select(F.col("name").alias("file"), F.try_parse_json("value").alias("doc"))
     cut_lineage(raw_json.bad_files(pages)).write.mode("overwrite").parquet(path)
     bad = tables.read_table(spark, path, ["file"]).agg(F.count(F.lit(1))).scalar()
     return raw_json.file_counts(pages).withColumn("quarantined", bad)

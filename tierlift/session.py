@@ -52,7 +52,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def broadcast_if_small(df: DataFrame, row_limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     """Hint a broadcast after counting; otherwise leave the join to Catalyst and AQE.
 
-    Meant for checkpointed or persisted frames, where the bounded count is cheap.
+    Meant for stored tables, where a count reads no column.
     """
-    seen = df.limit(row_limit + 1).count()
-    return F.broadcast(df) if seen <= row_limit else df
+    return F.broadcast(df) if df.count() <= row_limit else df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Redistribute only when the input has fewer splits than there are cores.
+
+    Heavy per-row work on a few unsplittable files would otherwise leave cores idle. An
+    input with enough splits is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

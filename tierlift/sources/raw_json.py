@@ -105,28 +105,22 @@ def type_records(raw: DataFrame, fields: RecordFields = FIELDS,
     def text(key: str) -> Column:
         return F.try_variant_get(rec, f"$.{key}", "string")
 
-    def objects(key: str) -> Column:
-        found = F.try_variant_get(rec, f"$.{key}", "array<variant>")
-        return F.coalesce(found, F.array().cast("array<variant>"))
+    def structs(key: str, shape: str) -> Column:
+        """An array of objects in one typed read; elements of other kinds are null."""
+        found = F.try_variant_get(rec, f"$.{key}", f"array<struct<{shape}>>")
+        return F.coalesce(found, F.array().cast(f"array<struct<{shape}>>"))
 
     flag = truthy_variant if python_truthy else strict_flag_variant
-    items = F.transform(
-        F.filter(objects(fields.items), is_object),
-        lambda s: F.struct(
-            F.try_variant_get(s, f"$.{fields.item_id}", "string").alias("item_id"),
-            clean_string(F.try_variant_get(s, f"$.{fields.item_name}", "string"))
-            .alias("item_name"),
-            flag(F.try_variant_get(s, f"$.{fields.item_flag}", "variant")).alias("explicit"),
-        ),
-    )
-    children = F.transform(
-        objects(fields.children),
-        lambda p: F.struct(
-            F.try_variant_get(p, f"$.{fields.child_title}", "string").alias("title"),
-            F.try_variant_get(p, f"$.{fields.child_description}", "string")
-            .alias("description"),
-        ),
-    )
+    raw_items = structs(fields.items, f"{fields.item_id}: string, {fields.item_name}: string, "
+                                      f"{fields.item_flag}: variant")
+    raw_children = structs(
+        fields.children, f"{fields.child_title}: string, {fields.child_description}: string")
+    items = F.transform(F.filter(raw_items, lambda s: s.isNotNull()), lambda s: F.struct(
+        s[fields.item_id].alias("item_id"),
+        clean_string(s[fields.item_name]).alias("item_name"),
+        flag(s[fields.item_flag]).alias("explicit")))
+    children = F.transform(raw_children, lambda p: F.struct(
+        p[fields.child_title].alias("title"), p[fields.child_description].alias("description")))
     scalars = ["handle", "display_name", "region", "locality", "rate", "metric",
                "reputation", "event_count", "stars", "score", "profile", "tagline"]
     return raw.select(
@@ -136,7 +130,7 @@ def type_records(raw: DataFrame, fields: RecordFields = FIELDS,
         text(f"{fields.location}.{fields.latitude}").alias("latitude"),
         text(f"{fields.location}.{fields.longitude}").alias("longitude"),
         items.alias("items"),
-        F.size(objects(fields.items)).cast("bigint").alias("n_items"),
+        F.size(raw_items).cast("bigint").alias("n_items"),
         children.alias("children"),
     )
 

@@ -30,9 +30,10 @@ def cooccurrence_edges(links: DataFrame, top: DataFrame,
     """Item pairs with the number of entities holding both.
 
     ``top`` is a limited list, so an entity contributes at most that many items and the
-    pairs per entity are bounded by the node limit. Counts combine before the shuffle.
+    pairs per entity are bounded by the node limit. Counts combine before the shuffle. The
+    limit also tells Catalyst that the list is small enough to broadcast.
     """
-    kept = links.select("entity_id", "item_name").join(F.broadcast(top), "item_name")
+    kept = links.select("entity_id", "item_name").join(top, "item_name", "left_semi")
     left = kept.select("entity_id", F.col("item_name").alias("source"))
     right = kept.select("entity_id", F.col("item_name").alias("target"))
     return (

@@ -13,6 +13,10 @@ from tierlift.operators.item_stats import label_count
 from tierlift.operators.quantiles import SINGLE_PASS_ROWS, quantile_value
 from tierlift.operators.running import running
 from tierlift.params import DEFAULTS, UNKNOWN
+from tierlift.session import cut_lineage
+
+# Arrivals of this many files form one block of the conflict scan.
+FILES_PER_BLOCK = 1024
 
 
 def keep_best(records: DataFrame, key: str, metric: Column, size: Column,
@@ -54,6 +58,20 @@ def conflict_log(records: DataFrame, key: str, metric: Column, size: Column,
         key, *arrival, F.col("_kept.s").alias("existing_items"), "new_items")
 
 
+def with_file_block(records: DataFrame, files_per_block: int = FILES_PER_BLOCK) -> DataFrame:
+    """Add ``block``, an order-preserving number for every run of files by name.
+
+    File names are range-sorted across tasks; the ids that follow depend on the range
+    bounds, so they are stored before use.
+    """
+    names = records.select("file").distinct().repartitionByRange("file").sortWithinPartitions(
+        "file")
+    numbered = cut_lineage(names.select(
+        "file", F.monotonically_increasing_id().alias("_no")))
+    block = F.floor(F.col("_no") / files_per_block)
+    return records.join(numbered.select("file", block.alias("block")), "file")
+
+
 def conflict_sample(conflicts: DataFrame, arrival: list[str], n: int = 100) -> DataFrame:
     return conflicts.orderBy(*arrival).limit(n)
 
@@ -64,10 +82,15 @@ def top_label(metric: Column, threshold: Column) -> Column:
 
 def with_label(entities: DataFrame, quantile: float = DEFAULTS.top_quantile,
                single_pass_rows: int = SINGLE_PASS_ROWS) -> DataFrame:
-    """Add ``log_metric`` and ``is_top`` (metric at or above its own quantile)."""
-    threshold = quantile_value(entities, "metric", quantile, single_pass_rows)
+    """Add ``log_metric`` and ``is_top`` (metric at or above its own quantile).
+
+    The entities are stored first: the threshold then reads one column of the stored
+    table instead of deriving every entity once more.
+    """
+    stored = cut_lineage(entities)
+    threshold = quantile_value(stored, "metric", quantile, single_pass_rows)
     return (
-        entities.withColumn("log_metric", F.log1p("metric"))
+        stored.withColumn("log_metric", F.log1p("metric"))
         .withColumn("is_top", top_label(F.col("metric"), threshold))
     )
 

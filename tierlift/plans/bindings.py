@@ -103,7 +103,8 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def item_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return item_statistics(entities(spark, sf), links(spark, sf))
+    return _once(spark, sf, "item_stats",
+                 lambda: item_statistics(entities(spark, sf), links(spark, sf)), cut_lineage)
 
 
 def bundles(spark: SparkSession, sf: str) -> DataFrame:

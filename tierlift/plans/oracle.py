@@ -667,6 +667,12 @@ ORDER BY entity_count DESC, item_name LIMIT 5""",
     "top_items_rate": f"""WITH {STATS}
 SELECT item_name, entity_count, prevalence, median_metric, top_rate FROM stats
 WHERE entity_count >= 50 ORDER BY top_rate DESC, item_name LIMIT 5""",
+    "item_leaders": f"""WITH {STATS}
+SELECT item_name, entity_count, top_rate FROM stats
+ORDER BY entity_count DESC, item_name LIMIT 15""",
+    "item_rate_leaders": f"""WITH {STATS}
+SELECT item_name, entity_count, top_rate FROM stats
+WHERE entity_count >= 30 ORDER BY top_rate DESC, item_name LIMIT 15""",
     "metric_histogram": f"WITH {ENTITIES}, positive AS (SELECT * FROM entities WHERE metric > 0)"
     + histogram("log_metric", "positive", 50, "is_top,"),
     "item_count_histogram": f"WITH {ENTITIES}" + histogram("item_count", "entities", 40),

@@ -208,8 +208,8 @@ def record_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def record_conflict_sample(spark: SparkSession, sf: str) -> DataFrame:
     log = normalise.conflict_log(
-        b.records(spark, sf), "entity_id", clean.clean_float(F.col("metric")),
-        F.col("n_items"), ["file", "pos"], F.col("file"))
+        normalise.with_file_block(b.records(spark, sf)), "entity_id",
+        clean.clean_float(F.col("metric")), F.col("n_items"), ["file", "pos"], F.col("block"))
     return normalise.conflict_sample(log, ["file", "pos"])
 
 
@@ -568,6 +568,23 @@ def top_items_rate(spark: SparkSession, sf: str) -> DataFrame:
         "item_name", "entity_count", "prevalence", "median_metric", "top_rate")
 
 
+@query
+def item_leaders(spark: SparkSession, sf: str) -> DataFrame:
+    return summary.popular_items(b.item_stats(spark, sf), 15).select(
+        "item_name", "entity_count", "top_rate")
+
+
+@query
+def item_rate_leaders(spark: SparkSession, sf: str) -> DataFrame:
+    return summary.items_by_rate(b.item_stats(spark, sf), 15, 30).select(
+        "item_name", "entity_count", "top_rate")
+
+
+@query
+def community_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    return summary.rank_communities(graph.community_summary(_nodes(spark, sf)))
+
+
 @query
 def metric_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(views.metric_histogram(b.entities(spark, sf)), 6, "bin_start")

@@ -63,7 +63,8 @@ def normalised(records: DataFrame, store: Store, t: Thresholds) -> dict[str, Dat
     metric = clean_float(F.col("metric"))
     arrival = ["file", "pos"]
     conflicts = store.table("profile/conflicts", normalise.conflict_log(
-        records, "entity_id", metric, F.col("n_items"), arrival, F.col("file")))
+        normalise.with_file_block(records), "entity_id", metric, F.col("n_items"), arrival,
+        F.col("block")))
     store.table("profile/conflict_sample", normalise.conflict_sample(conflicts, arrival))
     best = store.table("staged/best", normalise.keep_best(
         records, "entity_id", metric, F.col("n_items"), arrival))
@@ -99,6 +100,10 @@ def run(spark: SparkSession, pages: str, out: str,
     made["regressions"] = store.table("regressions", regression.bundle_regressions(
         entities, links, made["bundles"], t.regression_bundles, t.regression_regions))
 
+    controls = regression.control_names(regression.top_regions(entities, t.regression_regions))
+    store.document("regression_controls", spark.createDataFrame(
+        [(controls,)], "model_controls array<string>"))
+
     top = graph.top_items(made["item_statistics"], t.max_graph_nodes)
     made["edges"] = store.table("edges", graph.cooccurrence_edges(links, top, t.min_edge_weight))
     partition = graph.communities(made["edges"])

@@ -63,7 +63,8 @@ def test_table_statistics(spark, n, a, total, top):
 def test_false_discovery_with_ties(spark, seed):
     rng = random.Random(seed)
     values = [(rng.randint(1, 6), rng.randint(0, 3)) for _ in range(60)]
-    p_of = {v: round(rng.random() ** 3, 3) for v in sorted(set(values))}
+    p_of = {v: rng.choice([0.0, 1.0, round(rng.random() ** 3, 3), 1e-300, 1 - 1e-9])
+            for v in sorted(set(values))}
     rows = [(f"b{i}", n, a, p_of[(n, a)]) for i, (n, a) in enumerate(values)]
     df = spark.createDataFrame(
         rows, "bundle_name string, entity_count long, top_count long, p_value double")

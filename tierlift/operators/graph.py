@@ -72,10 +72,12 @@ def shortest_distances(arcs: DataFrame, sources: DataFrame) -> DataFrame:
 
     Only rows improved in the last round are extended in the next one.
     """
-    state = cut_lineage(
-        sources.select(F.col("node").alias("s"), F.col("node").alias("v"),
-                       F.lit(0).cast(arcs.schema["w"].dataType).alias("d"))
-        .withColumn("fresh", F.lit(True)))
+    own = sources.select(F.col("node").alias("s"), F.col("node").alias("v"),
+                         F.lit(0).cast(arcs.schema["w"].dataType).alias("d"))
+    direct = arcs.join(sources.select(F.col("node").alias("u")), "u", "left_semi").select(
+        F.col("u").alias("s"), "v", F.col("w").alias("d"))
+    state = own.withColumn("fresh", F.lit(False)).unionByName(
+        direct.withColumn("fresh", F.lit(True)))
     while True:
         reached = (
             state.where("fresh").withColumnRenamed("v", "u").join(arcs, "u")
@@ -95,7 +97,7 @@ def shortest_distances(arcs: DataFrame, sources: DataFrame) -> DataFrame:
 
 def _accumulate(start: DataFrame, steps: DataFrame, source: str, target: str) -> DataFrame:
     """Sum of ``x`` over repeated steps ``source -> target`` until nothing is left."""
-    layer = cut_lineage(start)
+    layer = start
     layers = [layer]
     while True:
         layer = cut_lineage(
@@ -124,7 +126,7 @@ def betweenness(edges: DataFrame, distance: str = "weight",
         both_directions(edges.withColumn("weight", length))))
     nodes = cut_lineage(nodes_of(edges))
     starts = nodes if sources is None else sources
-    dist = cut_lineage(shortest_distances(arcs, starts))
+    dist = shortest_distances(arcs, starts)
     ahead = dist.select("s", F.col("v").alias("b"), F.col("d").alias("db"))
     gap = F.abs(F.col("d") + F.col("w") - F.col("db"))
     tight = cut_lineage(
@@ -225,35 +227,35 @@ def _move_until_stable(arcs: DataFrame, two_m: float,
 
 def _apply_disjoint_moves(state: DataFrame, outward: DataFrame, two_m: float) -> DataFrame:
     totals = state.groupBy("community").agg(F.sum("k").alias("tot"))
-    here = state.select(F.col("node").alias("u"), "k", F.col("community").alias("own"))
-    there = state.select(F.col("node").alias("v"), F.col("community").alias("c"))
+    sized = state.join(totals, "community")
+    here = sized.select(F.col("node").alias("u"), "k", F.col("community").alias("own"),
+                        F.col("tot").alias("tot_own"))
+    there = sized.select(F.col("node").alias("v"), F.col("community").alias("c"), "tot")
     pull = (
-        outward.join(there, "v").groupBy("u", "c").agg(F.sum("w").alias("wc"))
-        .join(here, "u")
-        .join(totals.select(F.col("community").alias("c"), "tot"), "c"))
+        outward.join(there, "v")
+        .groupBy("u", "c").agg(F.sum("w").alias("wc"), F.first("tot").alias("tot"))
+        .join(here, "u"))
     own = F.col("c") == F.col("own")
     away = F.col("wc") - F.col("k") * F.col("tot") / two_m
     best = (
-        pull.groupBy("u", "own", "k")
+        pull.groupBy("u", "own", "k", "tot_own")
         .agg(F.min(F.when(~own, F.struct((-away).alias("loss"), F.col("c").alias("c"))))
              .alias("best"),
              F.coalesce(F.max(F.when(own, F.col("wc"))), F.lit(0.0)).alias("w_own"))
-        .where(F.col("best").isNotNull())
-        .join(totals.select(F.col("community").alias("own"), F.col("tot").alias("tot_own")),
-              "own"))
+        .where(F.col("best").isNotNull()))
     stay = F.col("w_own") - F.col("k") * (F.col("tot_own") - F.col("k")) / two_m
     moves = best.select(
         "u", "own", F.col("best.c").alias("c"), (-F.col("best.loss") - stay).alias("gain")
     ).where(F.col("gain") > TOLERANCE * two_m)
-    claim = F.struct((-F.col("gain")).alias("g"), F.col("u").alias("u"))
+    claim = F.struct((-F.col("gain")).alias("g"), F.col("u").alias("u"), F.col("c").alias("c"))
     claims = (
         moves.select(F.explode(F.array("own", "c")).alias("community"), claim.alias("claim"))
         .groupBy("community").agg(F.min("claim").alias("claim")))
     # A move stands when both communities it touches picked it.
     granted = (
-        claims.groupBy(F.col("claim.u").alias("u")).agg(F.count(F.lit(1)).alias("picks"))
-        .where(F.col("picks") == 2).join(moves, "u")
-        .select(F.col("u").alias("node"), F.col("c").alias("to")))
+        claims.groupBy(F.col("claim.u").alias("node"), F.col("claim.c").alias("to"))
+        .agg(F.count(F.lit(1)).alias("picks"))
+        .where(F.col("picks") == 2).drop("picks"))
     return state.join(granted, "node", "left").select(
         "node", "k", F.coalesce("to", "community").alias("community"),
         F.col("to").isNotNull().alias("hit"))

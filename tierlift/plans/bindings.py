@@ -24,7 +24,8 @@ from tierlift.sources.tables import read_table
 _shared: dict[tuple[str, str, str], DataFrame] = {}
 
 
-def _once(spark: SparkSession, sf: str, name: str, build, keep=None) -> DataFrame:
+def once(spark: SparkSession, sf: str, name: str, build, keep=None) -> DataFrame:
+    """Build a shared input once per session and folder: persisted, or kept by ``keep``."""
     key = (spark.sparkContext.applicationId, sf, name)
     if key not in _shared:
         df = build()
@@ -50,7 +51,7 @@ def links(spark: SparkSession, sf: str) -> DataFrame:
             .select(F.col("o_custkey").alias("entity_id"), F.col("p_name").alias("item_name"))
             .distinct())
         return bought.join(ids, "item_name").select("entity_id", "item_id", "item_name")
-    return _once(spark, sf, "links", build)
+    return once(spark, sf, "links", build)
 
 
 def entities(spark: SparkSession, sf: str) -> DataFrame:
@@ -79,15 +80,18 @@ def entities(spark: SparkSession, sf: str) -> DataFrame:
                     F.col("n_nationkey").cast("double").alias("latitude"),
                     F.col("n_regionkey").cast("double").alias("longitude")))
         return with_label(base)
-    return _once(spark, sf, "entities", build)
+    return once(spark, sf, "entities", build)
 
 
 def baskets(spark: SparkSession, sf: str) -> DataFrame:
     """One row per order and part name: the links of the co-occurrence graph."""
-    part = table(spark, sf, "part", "p_partkey", "p_name")
-    lines = table(spark, sf, "lineitem", "l_orderkey", "l_partkey")
-    return lines.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
-        F.col("l_orderkey").alias("entity_id"), F.col("p_name").alias("item_name")).distinct()
+    def build() -> DataFrame:
+        part = table(spark, sf, "part", "p_partkey", "p_name")
+        lines = table(spark, sf, "lineitem", "l_orderkey", "l_partkey")
+        return lines.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
+            F.col("l_orderkey").alias("entity_id"),
+            F.col("p_name").alias("item_name")).distinct()
+    return once(spark, sf, "baskets", build)
 
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:
@@ -99,16 +103,16 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
         every = cut_lineage(cooccurrence_edges(held, top.select("item_name"), 1))
         bar = every.agg(F.percentile("weight", F.lit(0.9))).scalar()
         return every.where(F.col("weight") >= bar)
-    return _once(spark, sf, "edges", build, cut_lineage)
+    return once(spark, sf, "edges", build, cut_lineage)
 
 
 def item_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return _once(spark, sf, "item_stats",
+    return once(spark, sf, "item_stats",
                  lambda: item_statistics(entities(spark, sf), links(spark, sf)), cut_lineage)
 
 
 def bundles(spark: SparkSession, sf: str) -> DataFrame:
-    return _once(spark, sf, "bundles",
+    return once(spark, sf, "bundles",
                  lambda: mine_bundles(entities(spark, sf), links(spark, sf)), cut_lineage)
 
 
@@ -119,12 +123,14 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def labelled_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents with a quality label; quality 1 is the label."""
-    marks = table(spark, sf, "labels", "doc_id", "quality")
-    texts = spread(table(spark, sf, "documents", "doc_id", "text"), "doc_id")
-    return texts.join(marks, "doc_id").select(
-        "doc_id", (F.col("quality") == 1).alias("label"),
-        normalise_text(F.col("text")).alias("clean"))
+    """Documents with a quality label; quality 1 is the label. Stored in normal form."""
+    def build() -> DataFrame:
+        marks = table(spark, sf, "labels", "doc_id", "quality")
+        texts = spread(table(spark, sf, "documents", "doc_id", "text"), "doc_id")
+        return texts.join(marks, "doc_id").select(
+            "doc_id", (F.col("quality") == 1).alias("label"),
+            normalise_text(F.col("text")).alias("clean"))
+    return once(spark, sf, "labelled", build, cut_lineage)
 
 
 def document_json(spark: SparkSession, sf: str) -> DataFrame:
@@ -173,7 +179,7 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
 
     Staged once as a stored table: later passes then read only the columns they need.
     """
-    return _once(spark, sf, "records",
+    return once(spark, sf, "records",
                  lambda: type_records(raw_variants(spark, sf).drop("doc_id")), cut_lineage)
 
 

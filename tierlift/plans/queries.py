@@ -378,12 +378,12 @@ def bridge_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _partition(spark: SparkSession, sf: str) -> DataFrame:
-    return b._once(spark, sf, "partition",
+    return b.once(spark, sf, "partition",
                    lambda: graph.communities(b.edges(spark, sf)), cut_lineage)
 
 
 def _nodes(spark: SparkSession, sf: str) -> DataFrame:
-    return b._once(
+    return b.once(
         spark, sf, "nodes",
         lambda: graph.node_table(b.edges(spark, sf), b.item_stats(spark, sf),
                                  _partition(spark, sf)), cut_lineage)
@@ -452,7 +452,7 @@ def tfidf_weights(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _terms(spark: SparkSession, sf: str) -> DataFrame:
-    return b._once(spark, sf, "terms", lambda: text_terms.differential_terms(
+    return b.once(spark, sf, "terms", lambda: text_terms.differential_terms(
         b.labelled_documents(spark, sf)), cut_lineage)
 
 
@@ -487,7 +487,7 @@ def _topics(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _topic_table(spark: SparkSession, sf: str) -> DataFrame:
-    return b._once(spark, sf, "topics", lambda: _topics(spark, sf)[0], cut_lineage)
+    return b.once(spark, sf, "topics", lambda: _topics(spark, sf)[0], cut_lineage)
 
 
 @query

@@ -407,7 +407,8 @@ def community_summary(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def name_length_summary(spark: SparkSession, sf: str) -> DataFrame:
     stats = b.item_stats(spark, sf).select(
-        F.col("item_name").alias("node"), F.length("item_name").alias("community"),
+        F.col("item_name").alias("node"),
+        F.length("item_name").cast("bigint").alias("community"),
         "entity_count", "top_rate", "median_metric")
     return rounded(graph.community_summary(stats), 9, "avg_top_rate")
 
@@ -628,7 +629,7 @@ def raw_json_scan(spark: SparkSession, sf: str) -> DataFrame:
     return recs.select(
         F.regexp_extract("file", "file=([0-9]+)", 1).alias("page"), "pos", "entity_id",
         clean.float_or_zero(F.col("metric")).alias("metric"), "n_items",
-        F.length(clean.clean_string(F.col("profile"))).alias("profile_length"),
+        F.length(clean.clean_string(F.col("profile"))).cast("bigint").alias("profile_length"),
         F.size("children").alias("n_children"))
 
 

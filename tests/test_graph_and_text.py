@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tierlift.operators import graph, text_terms
-from tierlift.session import shared_dir
+from tierlift.session import broadcast_if_small, cut_lineage, shared_dir, spread
 
 
 def edge_table(spark, edges):
@@ -103,9 +103,27 @@ def test_subgraph_keeps_heavy_edges_between_members(spark):
     assert [tuple(r) for r in graph.subgraph(table, members, 5).collect()] == [("a", "b", 5)]
 
 
-def test_scratch_lives_in_the_configured_folder(spark):
+def test_stored_cuts_live_below_the_shared_folder(spark):
     folder = shared_dir(spark)
     assert folder == shared_dir(spark)
+    df = spark.range(10).withColumn("x", F.col("id") * 2)
+    cut = cut_lineage(df)
+    assert cut.dtypes == df.dtypes and sorted(cut.collect()) == sorted(df.collect())
+    assert all(folder.split(":")[-1] in f for f in cut.inputFiles())
+
+
+def test_spread_only_when_splits_are_few(spark):
+    cores = spark.sparkContext.defaultParallelism
+    few, many = spark.range(100).coalesce(1), spark.range(0, 100, 1, cores * 2)
+    assert spread(few, "id").rdd.getNumPartitions() == cores
+    assert spread(many, "id").rdd.getNumPartitions() == cores * 2
+
+
+def test_broadcast_hint_only_below_the_limit(spark):
+    df = spark.range(10)
+    hinted = broadcast_if_small(df, 10)._jdf.queryExecution().logical().toString()
+    plain = broadcast_if_small(df, 9)._jdf.queryExecution().logical().toString()
+    assert "broadcast" in hinted.lower() and "broadcast" not in plain.lower()
 
 
 def test_tfidf_rows_have_unit_length_and_known_weights(spark):

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Above this many input rows the bracketed two-pass form is used.
-SINGLE_PASS_ROWS = 5_000_000
+SINGLE_PASS_ROWS = 1_000_000
 
 Spec = tuple[str, float]
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierlift.llm import bpe, mixing, token_files
+from tierlift.llm import bpe, mixing, simhash, token_files
 from tierlift.llm.common import table
 from tierlift.session import scratch_path
 
@@ -34,10 +34,18 @@ def op6_trie_bpe(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_covering_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    groups = simhash.near_groups(table(spark, sf, "documents"), words=4, radius=4)
+    return groups.select(
+        "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
+        "component_id")
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op4_poisson_mixing": op4_poisson_mixing,
     "op6_trie_bpe": op6_trie_bpe,
+    "op10_covering_simhash": op10_covering_simhash,
 }
 
 ORACLE = {

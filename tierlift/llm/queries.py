@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierlift.llm import bpe, mixing, simhash, token_files
+from tierlift.llm import bpe, mixing, repeats, simhash, token_files
 from tierlift.llm.common import table
 from tierlift.session import scratch_path
 
@@ -20,6 +20,14 @@ def op1_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return token_files.document_checksums(spark, folder)
 
 
+def op3_previous_factors(spark: SparkSession, sf: str) -> DataFrame:
+    found = repeats.remove_repeats(table(spark, sf, "documents"), window=100)
+    length = F.aggregate("removed", F.lit(0).cast("bigint"),
+                         lambda n, r: n + r.getField("end") - r.getField("start"))
+    return found.select("doc_id", "n_bytes", length.alias("n_removed"),
+                        F.size("removed").cast("bigint").alias("n_spans"), "kept_sha256")
+
+
 def op4_poisson_mixing(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     mixed = mixing.mix_sources(docs, mixing.tempered_targets(docs))
@@ -43,6 +51,7 @@ def op10_covering_simhash(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op3_previous_factors": op3_previous_factors,
     "op4_poisson_mixing": op4_poisson_mixing,
     "op6_trie_bpe": op6_trie_bpe,
     "op10_covering_simhash": op10_covering_simhash,

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tierlift.session import cut_lineage
 
 # Rows of text handed to vectorised code at once; a single longer text is a slice of its own.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

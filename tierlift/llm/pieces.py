@@ -21,7 +21,7 @@ _UNSAFE = f" (?:[{BLANKS}]|$)"
 
 
 # Pieces a worker remembers, about 200 bytes each.
-KNOWN = 1_000_000
+KNOWN = 300_000
 
 
 def _piece_ids(pieces: list[str], encode_pieces: Callable[[list[str]], pa.Array],

@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierlift.llm import bpe, mixing, repeats, simhash, token_files
+from tierlift.llm import (
+    bpe, mixing, multi_index, repeats, simhash, sorted_lists, token_files)
 from tierlift.llm.common import table
 from tierlift.session import scratch_path
 
@@ -42,6 +43,15 @@ def op6_trie_bpe(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_multi_index(spark: SparkSession, sf: str) -> DataFrame:
+    return multi_index.near_duplicates(table(spark, sf, "embeddings"), threshold=0.95)
+
+
+def op9_sorted_lists(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = sorted_lists.scaled(table(spark, sf, "embeddings"), 256)
+    return sorted_lists.top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
+
+
 def op10_covering_simhash(spark: SparkSession, sf: str) -> DataFrame:
     groups = simhash.near_groups(table(spark, sf, "documents"), words=4, radius=4)
     return groups.select(
@@ -54,9 +64,28 @@ QUERIES = {
     "op3_previous_factors": op3_previous_factors,
     "op4_poisson_mixing": op4_poisson_mixing,
     "op6_trie_bpe": op6_trie_bpe,
+    "op8_multi_index": op8_multi_index,
+    "op9_sorted_lists": op9_sorted_lists,
     "op10_covering_simhash": op10_covering_simhash,
 }
 
+OP9_SQL = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+    FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
+r AS (
+    SELECT query_id, row_number() OVER (
+        PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+    FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
 ORACLE = {
     "op4_poisson_mixing": mixing.ORACLE_SQL,
+    "op9_sorted_lists": OP9_SQL,
 }

@@ -24,6 +24,8 @@ LIMIT = 2000
 # compare(rows, first): links among rows, or, where ``first`` is a number, only between the
 # first so many rows and the others.
 Compare = Callable[[pa.Table, int | None], pa.Table | None]
+Screen = Callable[[pa.Table, np.ndarray, np.ndarray], np.ndarray]
+SCREENED = 16
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -58,10 +60,13 @@ def bucket_links(
     schema: T.StructType,
     spread_by: str,
     limit: int = LIMIT,
+    screen: Screen | None = None,
 ) -> DataFrame:
     """Everything ``compare`` returns for the buckets; keys must be integers and not null.
 
     ``spread_by`` is the column by which the rows of a large bucket are dealt into blocks.
+    ``screen`` tells at once for two sets of rows, pairwise, which might link; buckets of up to
+    ``SCREENED`` rows without such a pair are passed over.
     """
     names = [f.name for f in schema.fields]
     marks = T.StructType([T.StructField("large", T.LongType())]
@@ -76,6 +81,8 @@ def bucket_links(
             starts = _starts(table, keys)
             ends = np.append(starts[1:], table.num_rows)
             many = np.flatnonzero(ends - starts > 1)
+            if screen is not None and len(many):
+                many = _promising(table, starts, ends, many, screen)
             found = [compare(table.slice(int(starts[i]), int(ends[i] - starts[i])), None)
                      for i in many]
             yield from _plain([f for f in found if f is not None and f.num_rows], marks)
@@ -109,6 +116,19 @@ def bucket_links(
     return out.union(dealt.mapInArrow(second_pass, marks).select(*names))
 
 
+def _promising(table: pa.Table, starts: np.ndarray, ends: np.ndarray, many: np.ndarray,
+               screen: Screen) -> np.ndarray:
+    sizes = ends - starts
+    run = np.repeat(np.arange(len(starts)), sizes)
+    small = (sizes <= SCREENED)[run]
+    good = sizes > SCREENED
+    for step in range(1, min(SCREENED, int(sizes[many].max()))):
+        left = np.flatnonzero((run[:-step] == run[step:]) & small[:-step])
+        if len(left):
+            good[run[left[screen(table, left, left + step)]]] = True
+    return many[good[many]]
+
+
 def _bounded(batches: Iterator[pa.RecordBatch], keys: list[str], limit: int):
     """Tables of whole small buckets; ``(key values, rows)`` for each bucket over the limit."""
     rest: pa.Table | None = None

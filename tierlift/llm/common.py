@@ -59,3 +59,20 @@ def drop_stored(*tables: DataFrame) -> None:
 def whole_text(column: str = "text"):
     """The text column; null counts as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def with_key(docs: DataFrame, key: str, id_column: str, text_column: str) -> DataFrame:
+    """Add a distinct bigint that ascends in the order of the documents.
+
+    It is the id where ids are distinct and not null. Else rows are put in order (null ids first,
+    rows of one id by a hash of their text) and stored, and the ids that Spark gives to ordered
+    partitions, which ascend, are the key.
+    """
+    ids = F.col(f"`{id_column}`").cast("bigint")
+    odd = docs.select(ids.alias("id")).groupBy("id").count().where("count > 1 or id is null")
+    if odd.isEmpty():
+        return docs.withColumn(key, ids)
+    tie = fresh_name(docs, "tie")
+    tied = docs.withColumn(key, ids).withColumn(tie, F.xxhash64(whole_text(f"`{text_column}`")))
+    ordered = tied.repartitionByRange(key, tie).sortWithinPartitions(key, tie)
+    return stored(ordered.drop(tie).withColumn(key, F.monotonically_increasing_id()))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierlift.llm import (
-    bpe, mixing, multi_index, repeats, simhash, sorted_lists, token_files)
+    bpe, lines, mixing, multi_index, repeats, simhash, sorted_lists, token_files)
 from tierlift.llm.common import table
 from tierlift.session import scratch_path
 
@@ -21,6 +21,11 @@ def op1_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return token_files.document_checksums(spark, folder)
 
 
+def op2_fuzzy_lines(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return lines.remove_repeated_lines(docs, n_lines="n_lines", n_removed="n_removed")
+
+
 def op3_previous_factors(spark: SparkSession, sf: str) -> DataFrame:
     found = repeats.remove_repeats(table(spark, sf, "documents"), window=100)
     length = F.aggregate("removed", F.lit(0).cast("bigint"),
@@ -61,6 +66,7 @@ def op10_covering_simhash(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op2_fuzzy_lines": op2_fuzzy_lines,
     "op3_previous_factors": op3_previous_factors,
     "op4_poisson_mixing": op4_poisson_mixing,
     "op6_trie_bpe": op6_trie_bpe,

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierlift.llm.common import stored, text_slices, whole_text
+from tierlift.llm.common import stored, text_slices, whole_text, with_key
 
 ANCHOR = 32
 SLICE_BYTES = 2 << 20
@@ -442,13 +442,7 @@ def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """``(key, doc_id, text)`` with a distinct key in the order of the documents."""
     rows = docs.select(F.col(id_column).cast("bigint").alias("doc_id"),
                        whole_text(text_column).alias("text"))
-    odd = rows.groupBy("doc_id").count().where("count > 1 or doc_id is null")
-    if odd.isEmpty():
-        return rows.select(F.col("doc_id").alias("key"), "doc_id", "text")
-    # Ranges of ids in order; the ids Spark gives out ascend from range to range.
-    tied = rows.withColumn("tie", F.xxhash64("text"))
-    ordered = tied.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    return stored(ordered.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text"))
+    return with_key(rows, "key", "doc_id", "text").select("key", "doc_id", "text")
 
 
 def remove_repeats(docs: DataFrame, window: int = 100, id_column: str = "doc_id",

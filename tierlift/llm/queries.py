@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierlift.llm import (
-    bpe, lines, mixing, multi_index, repeats, simhash, sorted_lists, token_files)
+    bpe, lines, mixing, multi_index, pii, repeats, simhash, sorted_lists, token_files)
 from tierlift.llm.common import table
 from tierlift.session import scratch_path
 
@@ -40,6 +40,24 @@ def op4_poisson_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixed.select("doc_id", "source", "text", "copy", "n_copies", "place")
 
 
+def op5_disclosing_terms(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = pii.sanitise(docs)
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(
+            ":", x.getField("kind"), x.getField("start").cast("string"),
+            x.getField("end").cast("string"))), ",")
+
+    def count(kind: str):
+        held = F.filter("base_spans", lambda x: x.getField("kind") == kind)
+        return F.size(held).cast("bigint").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *[count(k) for k in pii.KINDS], F.sha2(joined("base_spans"), 256).alias("base_sha256"),
+        joined(F.concat("base_spans", "term_spans")).alias("spans"))
+
+
 def op6_trie_bpe(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     coded = bpe.encode(docs, TOKENIZER, decoded="decoded", keep_text=False)
@@ -69,6 +87,7 @@ QUERIES = {
     "op2_fuzzy_lines": op2_fuzzy_lines,
     "op3_previous_factors": op3_previous_factors,
     "op4_poisson_mixing": op4_poisson_mixing,
+    "op5_disclosing_terms": op5_disclosing_terms,
     "op6_trie_bpe": op6_trie_bpe,
     "op8_multi_index": op8_multi_index,
     "op9_sorted_lists": op9_sorted_lists,

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierlift.llm import (
-    bpe, lines, mixing, multi_index, pii, repeats, simhash, sorted_lists, token_files)
+    bpe, lines, mixing, multi_index, pii, quality, repeats, simhash, sorted_lists, token_files)
 from tierlift.llm.common import table
 from tierlift.session import scratch_path
 
@@ -66,6 +66,12 @@ def op6_trie_bpe(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_cotraining(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = quality.train(docs, table(spark, sf, "labels"))
+    return quality.score(docs, model).select("doc_id", *quality.OUTPUTS)
+
+
 def op8_multi_index(spark: SparkSession, sf: str) -> DataFrame:
     return multi_index.near_duplicates(table(spark, sf, "embeddings"), threshold=0.95)
 
@@ -89,6 +95,7 @@ QUERIES = {
     "op4_poisson_mixing": op4_poisson_mixing,
     "op5_disclosing_terms": op5_disclosing_terms,
     "op6_trie_bpe": op6_trie_bpe,
+    "op7_cotraining": op7_cotraining,
     "op8_multi_index": op8_multi_index,
     "op9_sorted_lists": op9_sorted_lists,
     "op10_covering_simhash": op10_covering_simhash,

@@ -190,30 +190,46 @@ def test_student_tail():
         math.erfc(1.96 / math.sqrt(2)), rel=1e-4)
 
 
-def test_bracketed_quantiles_equal_numpy(spark):
+@pytest.mark.parametrize("accuracy", [1000, 20])
+def test_quantiles_equal_numpy(spark, accuracy):
     rng = np.random.default_rng(3)
+    inf = float("inf")
     groups = {"hot": rng.lognormal(3, 2, 6000).round(2), "ties": np.repeat([1.0, 2.0], 300),
-              "one": np.array([4.0]), None: rng.integers(0, 5, 37).astype(float)}
+              "one": np.array([4.0]), None: rng.integers(0, 5, 3700).astype(float),
+              "three": np.array([1.0, 5.0, 9.0]), "equal": np.repeat(7.0, 900),
+              "ends": np.array([-inf] * 5 + [1.0, 2.0, 3.0] + [inf] * 5)}
     rows = [(g, float(v), float(i)) for g, vs in groups.items() for i, v in enumerate(vs)]
+    rows += [("hot", None, None), ("nothing", None, None), (None, None, None)]
     df = spark.createDataFrame(rows, "g string, v double, w double")
     spec = {"v50": ("v", 0.5), "v90": ("v", 0.9), "w25": ("w", 0.25), "v0": ("v", 0.0),
             "v100": ("v", 1.0)}
-    out = aggregate_with_quantiles(
-        df, ["g"], [F.count(F.lit(1)).alias("n")], spec, single_pass_rows=0)
+    out = aggregate_with_quantiles(df, ["g"], [F.count("v").alias("n")], spec, accuracy)
     found = {r["g"]: r for r in out.collect()}
+    assert set(found) == {*groups, "nothing"}
+    assert [found["nothing"][c] for c in ("n", *spec)] == [0] + [None] * 5
     for g, vs in groups.items():
-        if g is None:
-            continue
         assert found[g]["n"] == len(vs)
+        # NumPy makes NaN of infinite neighbours; these groups have none at the ranks asked for.
         assert found[g]["v50"] == pytest.approx(np.percentile(vs, 50), rel=1e-12)
-        assert found[g]["v90"] == pytest.approx(np.percentile(vs, 90), rel=1e-12)
         assert found[g]["w25"] == pytest.approx(np.percentile(np.arange(len(vs)), 25))
         assert (found[g]["v0"], found[g]["v100"]) == (vs.min(), vs.max())
-    whole = aggregate_with_quantiles(df, [], [], {"q": ("v", 0.9)}, single_pass_rows=0).first()
-    everything = np.concatenate(list(groups.values()))
+        if g != "ends":
+            assert found[g]["v90"] == pytest.approx(np.percentile(vs, 90), rel=1e-12)
+    assert found["ends"]["v90"] == inf
+    finite = df.where("g is null or g <> 'ends'")
+    whole = aggregate_with_quantiles(finite, [], [], {"q": ("v", 0.9)}, accuracy).first()
+    everything = np.concatenate([v for g, v in groups.items() if g != "ends"])
     assert whole["q"] == pytest.approx(np.percentile(everything, 90), rel=1e-12)
 
 
+def test_nan_is_the_largest_value(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(v,) for v in [1.0, 2.0, nan, 3.0, nan, None]], "v double")
+    spec = {"a": ("v", 0.5), "b": ("v", 0.75), "c": ("v", 1.0), "d": ("v", 0.0)}
+    r = aggregate_with_quantiles(df, [], [], spec).first()
+    assert (r["a"], r["d"]) == (3.0, 1.0) and np.isnan(r["b"]) and np.isnan(r["c"])
+
+
 def test_running_across_blocks(spark):
     rng = random.Random(1)
     rows = [("hot" if rng.random() < 0.8 else "cold", i, rng.randint(-5, 5)) for i in range(300)]

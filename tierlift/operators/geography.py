@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tierlift.functions.naming import counted
 from tierlift.operators.item_stats import label_count, money_mean
-from tierlift.operators.quantiles import SINGLE_PASS_ROWS, aggregate_with_quantiles
+from tierlift.operators.quantiles import aggregate_with_quantiles
 from tierlift.params import DEFAULTS, UNKNOWN
 
 
@@ -18,8 +18,7 @@ def known(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def region_statistics(entities: DataFrame,
-                      min_entities: int = DEFAULTS.min_region_entities,
-                      single_pass_rows: int = SINGLE_PASS_ROWS) -> DataFrame:
+                      min_entities: int = DEFAULTS.min_region_entities) -> DataFrame:
     n = F.count(F.lit(1))
     return aggregate_with_quantiles(
         known(entities, "region"), ["region"],
@@ -38,14 +37,11 @@ def region_statistics(entities: DataFrame,
             "median_item_count": ("item_count", 0.5),
             "median_event_count": ("event_count", 0.5),
         },
-        single_pass_rows,
-        at_most_rows_of=entities,
     ).where(F.col("entity_count") >= min_entities)
 
 
 def locality_statistics(entities: DataFrame,
-                        min_entities: int = DEFAULTS.min_locality_entities,
-                        single_pass_rows: int = SINGLE_PASS_ROWS) -> DataFrame:
+                        min_entities: int = DEFAULTS.min_locality_entities) -> DataFrame:
     n = F.count(F.lit(1))
     return aggregate_with_quantiles(
         known(entities, "region", "locality"), ["region", "locality"],
@@ -57,8 +53,6 @@ def locality_statistics(entities: DataFrame,
             F.avg("longitude").alias("longitude"),
         ],
         {"median_metric": ("metric", 0.5), "median_rate": ("rate", 0.5)},
-        single_pass_rows,
-        at_most_rows_of=entities,
     ).where(F.col("entity_count") >= min_entities)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tierlift.operators.quantiles import SINGLE_PASS_ROWS, aggregate_with_quantiles
+from tierlift.operators.quantiles import aggregate_with_quantiles
 from tierlift.params import DEFAULTS
 
 
@@ -19,8 +19,7 @@ def label_count(column: str = "is_top") -> Column:
     return F.coalesce(F.sum(F.col(column).cast("bigint")), F.lit(0).cast("bigint"))
 
 
-def overview(entities: DataFrame, links: DataFrame,
-             single_pass_rows: int = SINGLE_PASS_ROWS) -> DataFrame:
+def overview(entities: DataFrame, links: DataFrame) -> DataFrame:
     """One row: counts, label rate, location and spread of the outcome columns."""
     # Distinct items are counted in their own aggregate, as a scalar subquery.
     distinct_items = links.select("item_name").distinct().agg(F.count(F.lit(1))).scalar()
@@ -43,7 +42,6 @@ def overview(entities: DataFrame, links: DataFrame,
             "median_items_per_entity": ("item_count", 0.5),
             "median_event_count": ("event_count", 0.5),
         },
-        single_pass_rows,
     )
     return out.withColumn("total_distinct_items", distinct_items)
 
@@ -57,7 +55,6 @@ def item_statistics(
     entities: DataFrame,
     links: DataFrame,
     min_frequency: int = DEFAULTS.min_item_frequency,
-    single_pass_rows: int = SINGLE_PASS_ROWS,
 ) -> DataFrame:
     """Outcome statistics per (item id, item name).
 
@@ -88,8 +85,6 @@ def item_statistics(
             "median_rate": ("rate", 0.5),
             "median_item_count": ("item_count", 0.5),
         },
-        single_pass_rows,
-        at_most_rows_of=links,
     )
     return (
         stats.where(F.col("entity_count") >= min_frequency)

@@ -10,7 +10,7 @@ from tierlift.functions.clean import (
 )
 from tierlift.functions.naming import joined_text
 from tierlift.operators.item_stats import label_count
-from tierlift.operators.quantiles import SINGLE_PASS_ROWS, quantile_value
+from tierlift.operators.quantiles import quantile_value
 from tierlift.operators.running import running
 from tierlift.params import DEFAULTS, UNKNOWN
 from tierlift.session import cut_lineage
@@ -80,15 +80,14 @@ def top_label(metric: Column, threshold: Column) -> Column:
     return (metric >= threshold) & (metric > 0)
 
 
-def with_label(entities: DataFrame, quantile: float = DEFAULTS.top_quantile,
-               single_pass_rows: int = SINGLE_PASS_ROWS) -> DataFrame:
+def with_label(entities: DataFrame, quantile: float = DEFAULTS.top_quantile) -> DataFrame:
     """Add ``log_metric`` and ``is_top`` (metric at or above its own quantile).
 
     The entities are stored first: the threshold then reads one column of the stored
     table instead of deriving every entity once more.
     """
     stored = cut_lineage(entities)
-    threshold = quantile_value(stored, "metric", quantile, single_pass_rows)
+    threshold = quantile_value(stored, "metric", quantile)
     return (
         stored.withColumn("log_metric", F.log1p("metric"))
         .withColumn("is_top", top_label(F.col("metric"), threshold))

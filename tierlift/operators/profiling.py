@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tierlift.functions.clean import clean_float, clean_string
-from tierlift.operators.quantiles import SINGLE_PASS_ROWS, aggregate_with_quantiles
+from tierlift.operators.quantiles import aggregate_with_quantiles
 
 
 def percent(n: Column, total: Column) -> Column:
@@ -70,8 +70,7 @@ def column_completeness(df: DataFrame) -> DataFrame:
         "field", "present", percent(F.col("present"), F.col("_total")).alias("percentage"))
 
 
-def numeric_profile(df: DataFrame, column: str,
-                    single_pass_rows: int = SINGLE_PASS_ROWS) -> DataFrame:
+def numeric_profile(df: DataFrame, column: str) -> DataFrame:
     """Presence, zeros and the distribution of one numeric column."""
     v = F.col("v")
     source = df.select(F.col(column).alias("v"))
@@ -90,12 +89,11 @@ def numeric_profile(df: DataFrame, column: str,
         ],
         {"median_value": ("v", 0.5), "p25": ("v", 0.25), "p75": ("v", 0.75),
          "p90": ("v", 0.90), "p95": ("v", 0.95), "p99": ("v", 0.99)},
-        single_pass_rows,
     )
     return out.withColumn("iqr", F.col("p75") - F.col("p25"))
 
 
-def text_profile(records: DataFrame, single_pass_rows: int = SINGLE_PASS_ROWS) -> DataFrame:
+def text_profile(records: DataFrame) -> DataFrame:
     """Coverage and stripped length of the profile text, taglines and child rows."""
     lengths = records.select(
         F.length(clean_string(F.col("profile"))).cast("bigint").alias("len"),
@@ -114,7 +112,6 @@ def text_profile(records: DataFrame, single_pass_rows: int = SINGLE_PASS_ROWS) -
             F.max("len").alias("max_length"),
         ],
         {"median_length": ("len", 0.5)},
-        single_pass_rows,
     )
 
 

@@ -1,20 +1,23 @@
-"""Exact grouped quantiles with linear interpolation.
+"""Exact grouped quantiles with linear interpolation, one way for every size.
 
-Small inputs use the built-in exact ``percentile``. It keeps a value-to-count map per
-group, so a group with very many distinct values must not go there: such inputs take
-two passes. The first builds bounded sketches that bracket every wanted rank; the
-second counts values inside the brackets only and reads the exact order statistics.
+A first pass keeps a bounded sketch per group and quantile; it brackets the wanted rank. A
+second pass counts equal values inside the brackets and how many rows lie below, and the
+order statistics are read from running counts. Rows outside the brackets collapse before the
+shuffle, and the running counts are cut into blocks, so no task holds a group.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Above this many input rows the bracketed two-pass form is used.
-SINGLE_PASS_ROWS = 1_000_000
+from tierlift.operators.running import running
+from tierlift.session import broadcast_if_small, cut_lineage
 
 Spec = tuple[str, float]
+# A sketch errs by at most 1 / ACCURACY of the ranks; a bracket reaches four times as far.
+ACCURACY = 1000
+BLOCKS = 256
 
 
 def aggregate_with_quantiles(
@@ -22,90 +25,82 @@ def aggregate_with_quantiles(
     keys: list[str],
     aggregates: list[Column],
     quantiles: dict[str, Spec],
-    single_pass_rows: int = SINGLE_PASS_ROWS,
-    at_most_rows_of: DataFrame | None = None,
+    accuracy: int = ACCURACY,
 ) -> DataFrame:
     """``groupBy(keys).agg(aggregates)`` plus exact quantile columns ``{out: (column, q)}``.
 
-    ``at_most_rows_of`` names a table known to have at least as many rows as ``df`` and
-    cheaper to count, such as a stored table ``df`` was joined from.
-    """
-    if (df if at_most_rows_of is None else at_most_rows_of).count() <= single_pass_rows:
-        exact = [F.percentile(F.col(c), F.lit(q)).alias(out)
-                 for out, (c, q) in quantiles.items()]
-        return df.groupBy(*keys).agg(*aggregates, *exact)
-
-    accuracy = 100_000
-    wide = bracketed_quantiles(df, keys, quantiles, accuracy)
-    base = df.groupBy(*keys).agg(*aggregates) if aggregates else df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_rows"))
-    if not keys:
-        base, wide = base.withColumn("_one", F.lit(1)), wide.withColumn("_one", F.lit(1))
-    joined = base.join(wide, keys or ["_one"], "left")
-    return joined.drop("_one", "_rows")
-
-
-def bracketed_quantiles(
-    df: DataFrame, keys: list[str], quantiles: dict[str, Spec], accuracy: int = 100_000
-) -> DataFrame:
-    """One row per key with the exact quantiles, never holding a group in one task.
-
-    Rows inside a bracket are a fraction of about ``10 / accuracy`` of their group, and
-    equal values are counted, not kept.
+    Nulls do not count; NaN is larger than any number; a group without values gets null. Null
+    keys are a group like any other.
     """
     names = list(quantiles)
-    margin = 4.0 / accuracy
+    value = [F.col(quantiles[o][0]).cast("double") for o in names]
+    q = [quantiles[o][1] for o in names]
     sketch = []
-    for i, out in enumerate(names):
-        column, q = quantiles[out]
-        c = F.col(column).cast("double")
-        low, high = max(0.0, q - margin), min(1.0, q + margin)
-        sketch.append(F.count(c).alias(f"_n{i}"))
-        sketch.append(F.percentile_approx(c, [low, high], accuracy).alias(f"_b{i}"))
-    bounds = df.groupBy(*keys).agg(*sketch)
-    columns = sorted({c for c, _ in quantiles.values()})
-    # Keys may be null, so they are matched as one struct with null-safe equality.
-    left = df.select(F.struct(*keys, F.lit(0).alias("_one")).alias("_k"), *columns)
-    right = bounds.select(
-        F.struct(*keys, F.lit(0).alias("_one")).alias("_k"),
-        *[c for c in bounds.columns if c not in keys])
-    matched = left.join(right, left["_k"].eqNullSafe(right["_k"])).drop(right["_k"])
+    for i in range(len(names)):
+        low, high = max(0.0, q[i] - 4 / accuracy), min(1.0, q[i] + 4 / accuracy)
+        # Sketches compare numbers, so NaN counts as infinite there. In a small group ranks lie
+        # farther apart than the sketch's percentages; its bracket is all of it.
+        at, n = F.nanvl(value[i], F.lit(float("inf"))), F.count(value[i])
+        sketch.append(n.alias(f"_n{i}"))
+        sketch.append(F.when(n <= 10 * accuracy, F.array(F.min(at), F.max(at))).otherwise(
+            F.percentile_approx(at, [low, high], accuracy)).alias(f"_b{i}"))
+    # Several columns may share a name with an aggregate, so the sketches have names of their own.
+    base = cut_lineage(df.groupBy(*keys).agg(*aggregates, *sketch))
+    group = F.struct(*keys, F.lit(0).alias("_one"))
+    bounds = base.select(group.alias("_g"), *[f"_{x}{i}" for i in range(len(names)) for x in "nb"])
 
-    candidates = []
-    for i, out in enumerate(names):
-        c = F.col(quantiles[out][0]).cast("double")
+    columns = sorted({c for c, _ in quantiles.values()})
+    rows = df.select(group.alias("_k"), *columns)
+    # Without keys there is one row of bounds.
+    matched = (rows.join(broadcast_if_small(bounds), rows["_k"].eqNullSafe(bounds["_g"]))
+               if keys else rows.join(F.broadcast(bounds)))
+    inside, below = [], []
+    for i, c in enumerate(value):
+        at = F.nanvl(c, F.lit(float("inf")))
         low, high = F.col(f"_b{i}")[0], F.col(f"_b{i}")[1]
-        # Values below the bracket only matter as a count: all become one null value.
-        candidates.append(F.when(c <= high, F.struct(
-            F.lit(i).alias("i"), F.when(c >= low, c).alias("v"),
-            F.col(f"_n{i}").alias("n"))))
-    counted = (
-        matched.select("_k", F.explode(F.array_compact(F.array(*candidates))).alias("x"))
-        .groupBy("_k", "x.i", "x.v", "x.n").agg(F.count(F.lit(1)).alias("m"))
-    )
-    upto = (Window.partitionBy("_k", "i").orderBy(F.col("v").asc_nulls_first())
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    q_of = F.element_at(F.array(*[F.lit(float(quantiles[o][1])) for o in names]),
-                        F.col("i") + 1)
-    position = (F.col("n") - 1) * q_of
+        inside.append(F.when((at >= low) & (at <= high), c).alias(f"_v{i}"))
+        below.append(F.count_if(at < low).alias(f"_u{i}"))
+    # Rows outside all brackets of a group are one row from here on.
+    counted = matched.groupBy("_k", *inside).agg(F.count(F.lit(1)).alias("_m"), *below)
+    parts = [F.struct(F.lit(i).alias("i"), F.lit(inner).alias("inner"),
+                      (F.col(f"_v{i}") if inner else F.lit(None).cast("double")).alias("v"),
+                      F.col("_m" if inner else f"_u{i}").alias("m"))
+             for i in range(len(names)) for inner in (True, False)]
+    values = (
+        counted.select("_k", F.explode(F.array(*parts)).alias("x")).select("_k", "x.*")
+        .where(F.when(F.col("inner"), F.col("v").isNotNull()).otherwise(F.col("m") > 0))
+        .groupBy("_k", "i", "inner", "v").agg(F.sum("m").alias("m")))
+
+    def pick(stem: str, part: int | None = None) -> Column:
+        return F.element_at(F.array(*[
+            F.col(f"_{stem}{i}") if part is None else F.col(f"_{stem}{i}")[part]
+            for i in range(len(names))]), F.col("i") + 1)
+
+    sides = values.join(broadcast_if_small(bounds), values["_k"].eqNullSafe(bounds["_g"])).select(
+        "_k", "i", "inner", "v", "m", pick("n").alias("n"), pick("b", 0).alias("low"),
+        pick("b", 1).alias("high"))
+    # Blocks ascend with the values; what lies below the bracket is block -1.
+    width = F.col("high") - F.col("low")
+    inner_block = F.when(
+        (width > 0) & (width < float("inf")) & (F.nanvl("v", F.lit(float("inf"))) <= F.col("high")),
+        F.least(F.floor((F.col("v") - F.col("low")) / width * BLOCKS), F.lit(BLOCKS)))
+    blocked = cut_lineage(sides.withColumn("block", F.when(~F.col("inner"), -1).otherwise(
+        F.coalesce(inner_block, F.lit(0)))))
+    scanned = running(blocked.withColumn("_j", F.struct("_k", "i")), ["_j"], "block",
+                      ["inner", "v"], "m", "sum", "upto")
+    position = (F.col("n") - 1) * F.element_at(F.array(*[F.lit(float(x)) for x in q]),
+                                               F.col("i") + 1)
     ranked = (
-        counted.withColumn("upto", F.sum("m").over(upto))
-        .withColumn("position", position)
-        .withColumn("k0", F.floor("position"))
-        .withColumn("k1", F.ceil("position"))
+        scanned.withColumn("position", position)
+        .withColumn("k0", F.floor("position")).withColumn("k1", F.ceil("position"))
         .groupBy("_k", "i")
-        .agg(
-            F.min(F.when(F.col("upto") > F.col("k0"), F.col("v"))).alias("v0"),
-            F.min(F.when(F.col("upto") > F.col("k1"), F.col("v"))).alias("v1"),
-            F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("m"))), F.lit(0)).alias("below"),
-            F.max("upto").alias("seen"),
-            F.first("position").alias("position"),
-            F.first("k0").alias("k0"),
-            F.first("k1").alias("k1"),
-        )
-    )
+        .agg(F.min(F.when(F.col("inner") & (F.col("upto") > F.col("k0")), F.col("v"))).alias("v0"),
+             F.min(F.when(F.col("inner") & (F.col("upto") > F.col("k1")), F.col("v"))).alias("v1"),
+             F.sum(F.when(F.col("inner"), 0).otherwise(F.col("m"))).alias("below"),
+             F.max("upto").alias("seen"), F.first("position").alias("position"),
+             F.first("k0").alias("k0"), F.first("k1").alias("k1")))
     bracketed = (F.col("below") <= F.col("k0")) & (F.col("seen") > F.col("k1"))
-    mixed = F.when(F.col("k0") == F.col("k1"), F.col("v0")).otherwise(
+    mixed = F.when(F.col("v0") == F.col("v1"), F.col("v0")).otherwise(
         (F.col("k1") - F.col("position")) * F.col("v0")
         + (F.col("position") - F.col("k0")) * F.col("v1"))
     exact = ranked.select("_k", "i", F.when(bracketed, mixed).otherwise(
@@ -113,12 +108,11 @@ def bracketed_quantiles(
     wide = exact.groupBy("_k").agg(*[
         F.max(F.when(F.col("i") == i, F.col("value"))).alias(out)
         for i, out in enumerate(names)])
-    return wide.select(*[F.col(f"_k.{k}").alias(k) for k in keys], *names)
+    keyed = base.withColumn("_g", group).drop(*[f"_{x}{i}" for i in range(len(names)) for x in "nb"])
+    return keyed.join(wide, keyed["_g"].eqNullSafe(wide["_k"]), "left").drop("_g", "_k")
 
 
-def quantile_value(df: DataFrame, column: str, q: float,
-                   single_pass_rows: int = SINGLE_PASS_ROWS) -> Column:
+def quantile_value(df: DataFrame, column: str, q: float) -> Column:
     """One global quantile as a scalar subquery; nulls count as zero."""
     filled = df.select(F.coalesce(F.col(column), F.lit(0.0)).alias("_v"))
-    return aggregate_with_quantiles(
-        filled, [], [], {"q": ("_v", q)}, single_pass_rows, df).scalar()
+    return aggregate_with_quantiles(filled, [], [], {"q": ("_v", q)}).scalar()

@@ -87,22 +87,22 @@ def _row_hash(rows: np.ndarray, salt: int) -> np.ndarray:
     return _mix(h)
 
 
-def context_rows(data: np.ndarray, at: int, n: int, positions: np.ndarray,
+def context_rows(data: np.ndarray, places: np.ndarray, local: np.ndarray, sizes: np.ndarray,
                  window: int) -> np.ndarray:
-    """The bytes of all windows through anchors of the text ``data[at:at + n]``.
+    """The bytes of all windows through anchors at ``places`` of ``data``.
 
-    ``data`` has a margin of 2 * ``window`` bytes at either end. Bytes of other texts are 0.
+    ``local`` are their positions in their own texts, ``sizes`` the bytes of these. Bytes of
+    other texts are 0. ``data`` has a margin of 2 * ``window`` bytes at either end.
     """
     before, width = window - ANCHOR, 2 * window - ANCHOR
-    views = np.lib.stride_tricks.sliding_window_view(data, width)
-    rows = views[at + positions - before]
-    edge = np.flatnonzero((positions < before) | (positions + window > n))
-    place = positions[edge, None] - before + np.arange(width)
-    rows[edge] *= (place >= 0) & (place < n)
+    rows = np.lib.stride_tricks.sliding_window_view(data, width)[places - before]
+    edge = np.flatnonzero((local < before) | (local + window > sizes))
+    inside = local[edge, None] - before + np.arange(width)
+    rows[edge] *= (inside >= 0) & (inside < sizes[edge, None])
     return rows
 
 
-def _extents(positions: np.ndarray, n: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+def _extents(positions: np.ndarray, n: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     return np.minimum(positions, window - ANCHOR), np.minimum(n - positions, window)
 
 
@@ -177,26 +177,30 @@ def _repeat_runs(order: np.ndarray, *columns: np.ndarray) -> np.ndarray:
 
 def slice_anchors(texts: list[bytes], keys: np.ndarray, window: int) -> np.ndarray:
     """The anchors of some texts as ``ENTRY`` records, by text and position."""
-    fit = window - ANCHOR + 1
-    found = []
     long = [i for i, t in enumerate(texts) if len(t) >= window]
     if not long:
         return np.empty(0, dtype=ENTRY)
     data, begin = _joined_texts([texts[i] for i in long], window)
+    sizes = np.array([len(texts[i]) for i in long])
+    fit = window - ANCHOR + 1
     grams = _grams(data)
+    low = _slide(grams, fit, np.minimum)
+    # Windows that no text holds choose nothing.
+    whole = np.zeros(len(low), dtype=bool)
+    for at, n in zip(begin.tolist(), sizes.tolist()):
+        whole[at:at + n - window + 1] = True
+    low[~whole] = 0
     pad = np.zeros(fit - 1, dtype=np.uint64)
-    for i, at in zip(long, begin):
-        n = len(texts[i])
-        h = grams[at:at + n - ANCHOR + 1]
-        low = _slide(h, fit, np.minimum)
-        chosen = np.flatnonzero(_slide(np.concatenate([pad, low, pad]), fit, np.maximum) >= h)
-        rec = np.empty(len(chosen), dtype=ENTRY)
-        rec["h"], rec["key"], rec["pos"] = h[chosen], keys[i], chosen
-        rec["left"], rec["right"] = _extents(chosen, n, window)
-        extent = rec["left"].astype(np.uint64) << np.uint64(8) | rec["right"]
-        rec["c"] = _mix(_row_hash(context_rows(data, at, n, chosen, window), 3) ^ extent * _B)
-        found.append(rec)
-    return np.concatenate(found)
+    chosen = np.flatnonzero((_slide(np.concatenate([pad, low, pad]), fit, np.maximum) >= grams)
+                            & (grams > 0))
+    text = np.searchsorted(begin, chosen, side="right") - 1
+    local, size = chosen - begin[text], sizes[text]
+    rec = np.empty(len(chosen), dtype=ENTRY)
+    rec["h"], rec["key"], rec["pos"] = grams[chosen], keys[long][text], local
+    rec["left"], rec["right"] = _extents(local, size, window)
+    extent = rec["left"].astype(np.uint64) << np.uint64(8) | rec["right"]
+    rec["c"] = _mix(_row_hash(context_rows(data, chosen, local, size, window), 3) ^ extent * _B)
+    return rec
 
 
 def _spans(entries: np.ndarray, window: int) -> np.ndarray:
@@ -307,22 +311,20 @@ def _context_step(window: int, ranges: int):
         borders = borders[np.lexsort((borders["pos"], borders["key"]))]
         row_of = {k: i for i, k in enumerate(docs.column("key").to_pylist())}
         texts = docs.column("text")
-        cuts = [0, *(np.flatnonzero(np.diff(borders["key"])) + 1), len(borders)]
-        contexts, windows = [], []
-        for a, b in zip(cuts, cuts[1:]):
-            part = borders[a:b]
-            text = texts[row_of[int(part["key"][0])]].as_py().encode()
-            data, begin = _joined_texts([text], window)
-            rec = np.empty(len(part), dtype=dtype)
-            for name in ("h", "key", "pos"):
-                rec[name] = part[name]
-            rec["left"], rec["right"] = _extents(part["pos"], len(text), window)
-            rec["text"] = context_rows(data, begin[0], len(text), part["pos"], window)
-            hot = part["hot"] > 0
-            contexts.append(rec[~hot])
-            windows.append(_window_entries(rec[hot], window))
-        contexts = np.concatenate(contexts)
-        windows, first = _firsts(np.unique(np.concatenate(windows)))
+        keys, text = np.unique(borders["key"], return_inverse=True)
+        joined = [texts[row_of[k]].as_py().encode() for k in keys.tolist()]
+        data, begin = _joined_texts(joined, window)
+        size = np.array([len(t) for t in joined])
+        hot = borders["hot"] > 0
+        windows, first = _firsts(_window_entries(
+            data, begin, size, keys, text[hot], borders["pos"][hot], window))
+        borders, text = borders[~hot], text[~hot]
+        contexts = np.empty(len(borders), dtype=dtype)
+        for name in ("h", "key", "pos"):
+            contexts[name] = borders[name]
+        local, sizes = borders["pos"], size[text]
+        contexts["left"], contexts["right"] = _extents(local, sizes, window)
+        contexts["text"] = context_rows(data, begin[text] + local, local, sizes, window)
         spans = _joined(_spans(windows[~first], window))
         windows = windows[first]
         return _rows([*_pack(CONTEXTS, _by_hash(contexts["h"], ranges), contexts),
@@ -331,20 +333,21 @@ def _context_step(window: int, ranges: int):
     return run
 
 
-def _window_entries(rec: np.ndarray, window: int) -> np.ndarray:
-    """Every window through some anchors as an entry of its own."""
-    before, found = window - ANCHOR, []
-    pad = -window % 8
-    for o in range(before + 1):
-        part = rec[(rec["left"] >= o) & (rec["right"] >= window - o)]
-        rows = np.zeros((len(part), window + pad), dtype=np.uint8)
-        rows[:, :window] = part["text"][:, before - o:before - o + window]
-        out = np.empty(len(part), dtype=ENTRY)
-        out["h"], out["c"] = _row_hash(rows, 11), _row_hash(rows, 12)
-        out["key"], out["pos"] = part["key"], part["pos"] - o
-        out["left"], out["right"] = 0, window
-        found.append(out)
-    return np.concatenate(found)
+def _window_entries(data: np.ndarray, begin: np.ndarray, size: np.ndarray, keys: np.ndarray,
+                    text: np.ndarray, local: np.ndarray, window: int) -> np.ndarray:
+    """Every window through some anchors as an entry of its own, each once."""
+    starts = local[:, None] - np.arange(window - ANCHOR + 1)
+    text = np.broadcast_to(text[:, None], starts.shape)
+    fits = (starts >= 0) & (starts + window <= size[text])
+    place = np.unique((begin[text] + starts)[fits])
+    rows = np.zeros((len(place), window + -window % 8), dtype=np.uint8)
+    rows[:, :window] = np.lib.stride_tricks.sliding_window_view(data, window)[place]
+    text = np.searchsorted(begin, place, side="right") - 1
+    out = np.empty(len(place), dtype=ENTRY)
+    out["h"], out["c"] = _row_hash(rows, 11), _row_hash(rows, 12)
+    out["key"], out["pos"] = keys[text], place - begin[text]
+    out["left"], out["right"] = 0, window
+    return out
 
 
 def previous_in_run(order: np.ndarray, new: np.ndarray) -> np.ndarray:

@@ -97,6 +97,56 @@ def test_planted_communities_are_recovered(spark):
     assert q > plain_modularity(edges, {v: v for v in names})
 
 
+def test_a_hub_takes_its_leaves_in_few_rounds(spark, monkeypatch):
+    table = spark.createDataFrame(
+        [("hub", f"leaf{i:03}", 1) for i in range(300)], "source string, target string, weight long")
+    rounds, run = [], graph._granted_moves
+
+    def counted(*args):
+        rounds.append(1)
+        return run(*args)
+
+    monkeypatch.setattr(graph, "_granted_moves", counted)
+    partition = graph.communities(table)
+    assert partition.select("community").distinct().count() == 1
+    assert len(rounds) <= 36
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_no_round_lowers_modularity(spark, monkeypatch, seed):
+    rng = random.Random(seed)
+    rows = [(f"n{a:02}", f"n{b:02}", rng.randint(1, 9)) for a in range(30) for b in range(a)
+            if rng.random() < (0.6 if a % 3 == b % 3 else 0.1)]
+    table = spark.createDataFrame(
+        [(min(a, b), max(a, b), w) for a, b, w in rows], "source string, target string, weight long")
+    seen, run = [], graph._granted_moves
+
+    def watched(state, *args):
+        if len(seen) < 8:  # the first level, where nodes are the graph's own
+            seen.append(graph.modularity(table, state.select("node", "community")).first()[0])
+        return run(state, *args)
+
+    monkeypatch.setattr(graph, "_granted_moves", watched)
+    level, stable = [], graph._move_until_stable
+
+    def first_level(arcs, two_m):
+        out = stable(arcs, two_m)
+        level.append(len(seen))
+        if len(level) == 1:
+            seen.extend([None] * 8)
+        return out
+
+    monkeypatch.setattr(graph, "_move_until_stable", first_level)
+    partition = graph.communities(table)
+    first = [q for q in seen[:level[0]]]
+    assert len(first) > 1 and all(b >= a - 1e-12 for a, b in zip(first, first[1:]))
+    assert graph.modularity(table, partition).first()[0] >= first[-1] - 1e-12
+    some = spark.createDataFrame([("n01",), ("n02",)], "node string")
+    every = {r.node: r.closeness for r in graph.closeness(table).collect()}
+    assert {r.node: r.closeness for r in graph.closeness(table, some).collect()} == {
+        n: every[n] for n in ("n01", "n02")}
+
+
 def test_subgraph_keeps_heavy_edges_between_members(spark):
     table = edge_table(spark, [("a", "b", 5), ("a", "c", 9), ("b", "c", 1)])
     members = spark.createDataFrame([("a",), ("b",)], "node string")

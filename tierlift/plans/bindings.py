@@ -12,7 +12,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierlift.operators.graph import cooccurrence_edges
+from tierlift.operators.graph import cooccurrence_edges, top_items
 from tierlift.operators.item_stats import item_statistics
 from tierlift.operators.normalise import with_label
 from tierlift.operators.bundles import mine_bundles
@@ -95,14 +95,11 @@ def baskets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:
-    """Basket edges at or above the 90th percentile of all edge weights."""
+    """Basket edges of at least the documented minimum weight."""
     def build() -> DataFrame:
         held = baskets(spark, sf)
         counts = held.groupBy("item_name").agg(F.count(F.lit(1)).alias("entity_count"))
-        top = counts.orderBy(F.col("entity_count").desc(), "item_name").limit(150)
-        every = cut_lineage(cooccurrence_edges(held, top.select("item_name"), 1))
-        bar = every.agg(F.percentile("weight", F.lit(0.9))).scalar()
-        return every.where(F.col("weight") >= bar)
+        return cooccurrence_edges(held, top_items(counts))
     return once(spark, sf, "edges", build, cut_lineage)
 
 
@@ -117,20 +114,14 @@ def bundles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    """All documents in normal form, without a label."""
-    return spread(table(spark, sf, "documents", "doc_id", "text"), "doc_id").select(
-        "doc_id", F.lit(False).alias("label"), normalise_text(F.col("text")).alias("clean"))
-
-
-def labelled_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents with a quality label; quality 1 is the label. Stored in normal form."""
+    """All documents in normal form; quality 1 is the label, null where there is none."""
     def build() -> DataFrame:
         marks = table(spark, sf, "labels", "doc_id", "quality")
         texts = spread(table(spark, sf, "documents", "doc_id", "text"), "doc_id")
-        return texts.join(marks, "doc_id").select(
+        return texts.join(marks, "doc_id", "left").select(
             "doc_id", (F.col("quality") == 1).alias("label"),
             normalise_text(F.col("text")).alias("clean"))
-    return once(spark, sf, "labelled", build, cut_lineage)
+    return once(spark, sf, "documents", build, cut_lineage)
 
 
 def document_json(spark: SparkSession, sf: str) -> DataFrame:

@@ -243,8 +243,7 @@ every AS (
   SELECT a.item_name AS source, b.item_name AS target, count(*) AS weight
   FROM kept a JOIN kept b ON a.entity_id = b.entity_id AND a.item_name < b.item_name
   GROUP BY 1, 2),
-edges AS (
-  SELECT * FROM every WHERE weight >= (SELECT quantile_cont(weight, 0.9) FROM every)),
+edges AS (SELECT * FROM every WHERE weight >= 25),
 arcs AS (
   SELECT source AS u, target AS v, weight AS w FROM edges
   UNION ALL SELECT target, source, weight FROM edges),
@@ -338,7 +337,7 @@ vocab AS (
 ALL_DOCS = term_ctes("SELECT doc_id, text, false AS label FROM documents")
 LABELLED = term_ctes(
     "SELECT d.doc_id, d.text, l.quality = 1 AS label FROM documents d "
-    "JOIN labels l ON d.doc_id = l.doc_id") + """,
+    "LEFT JOIN labels l ON d.doc_id = l.doc_id") + """,
 raw_weights AS (
   SELECT doc_id, label, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM docs))::double
          / (1 + df)) + 1) AS raw
@@ -636,6 +635,11 @@ SELECT doc_id, clean, coalesce(array_to_string(w, ' '), '') AS tokens,
     "tfidf_weights": f"""WITH {LABELLED}
 SELECT doc_id, term, round(weight, 9) AS weight FROM weights""",
     "differential_terms": f"WITH {LABELLED} SELECT {DIFF_COLUMNS} FROM diff",
+    "lda_checks": """
+SELECT count(*) AS documents, count(*) AS in_topics,
+       (SELECT count(*) FROM documents SEMI JOIN (
+          SELECT doc_id FROM labels WHERE quality = 1) l USING (doc_id)) AS labelled_top
+FROM documents""",
     "top_terms": f"""WITH {LABELLED} SELECT {DIFF_COLUMNS} FROM (
   SELECT * FROM diff WHERE is_marker ORDER BY log_diff_score DESC, term LIMIT 10)""",
     "term_extremes": f"""WITH {LABELLED}

@@ -445,7 +445,7 @@ def vocabulary(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def tfidf_weights(spark: SparkSession, sf: str) -> DataFrame:
-    docs = b.labelled_documents(spark, sf)
+    docs = b.documents(spark, sf)
     n = docs.count()
     terms = cut_lineage(text_terms.document_terms(docs))
     vocab = cut_lineage(text_terms.vocabulary(terms, n, **text_terms.TERM_VOCABULARY))
@@ -454,7 +454,7 @@ def tfidf_weights(spark: SparkSession, sf: str) -> DataFrame:
 
 def _terms(spark: SparkSession, sf: str) -> DataFrame:
     return b.once(spark, sf, "terms", lambda: text_terms.differential_terms(
-        b.labelled_documents(spark, sf)), cut_lineage)
+        b.documents(spark, sf)), cut_lineage)
 
 
 def _rounded_terms(df: DataFrame) -> DataFrame:
@@ -478,17 +478,24 @@ def top_terms(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded_terms(summary.top_terms(_terms(spark, sf)))
 
 
-def _topics(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    docs = b.labelled_documents(spark, sf)
-    model, vocab, shares = text_terms.fit_topics(docs)
-    meta = b.table(spark, sf, "documents", "doc_id", "n_chars").join(
-        docs.select("doc_id", "label"), "doc_id").select(
-        "doc_id", "label", F.col("n_chars").cast("double").alias("metric"))
-    return text_terms.topic_table(model, vocab, shares, meta), shares
+_fits: dict[tuple[str, str], tuple] = {}
+
+
+def _fit(spark: SparkSession, sf: str) -> tuple:
+    """Model, vocabulary and shares per document, fitted once per session and folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _fits:
+        _fits[key] = text_terms.fit_topics(b.documents(spark, sf))
+    return _fits[key]
 
 
 def _topic_table(spark: SparkSession, sf: str) -> DataFrame:
-    return b.once(spark, sf, "topics", lambda: _topics(spark, sf)[0], cut_lineage)
+    def build() -> DataFrame:
+        meta = b.table(spark, sf, "documents", "doc_id", "n_chars").join(
+            b.documents(spark, sf).select("doc_id", "label"), "doc_id").select(
+            "doc_id", "label", F.col("n_chars").cast("double").alias("metric"))
+        return text_terms.topic_table(*_fit(spark, sf), meta)
+    return b.once(spark, sf, "topics", build, cut_lineage)
 
 
 @query
@@ -498,9 +505,18 @@ def lda_topics(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def lda_dominant(spark: SparkSession, sf: str) -> DataFrame:
-    docs = b.labelled_documents(spark, sf)
-    _, _, shares = text_terms.fit_topics(docs)
-    return text_terms.dominant_topic(shares).select("doc_id", "topic")
+    return text_terms.dominant_topic(_fit(spark, sf)[2]).select("doc_id", "topic")
+
+
+@query
+def lda_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of any fit: each document, and each labelled one, is in one topic."""
+    shares = _fit(spark, sf)[2]
+    table = _topic_table(spark, sf)
+    placed = text_terms.dominant_topic(shares).agg(F.count(F.lit(1)).alias("documents"))
+    total = table.agg(F.sum("entity_count").alias("in_topics"),
+                      F.sum("top_count").alias("labelled_top"))
+    return placed.join(total)
 
 
 @query

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import os
 import sys
+import tempfile
 import threading
 import time
 
@@ -27,6 +28,7 @@ def make_session(cores: str = "8") -> SparkSession:
         .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g").config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tierlift-"))
         .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark

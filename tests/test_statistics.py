@@ -186,8 +186,14 @@ def test_student_tail():
             1 - 2 * math.atan(t) / math.pi, rel=1e-9)
         assert regression.student_two_sided(t, 2) == pytest.approx(
             1 - t / math.sqrt(2 + t * t), rel=1e-9)
-    assert regression.student_two_sided(1.96, 1e7) == pytest.approx(
-        math.erfc(1.96 / math.sqrt(2)), rel=1e-4)
+    normal = math.erfc(1.96 / math.sqrt(2))
+    for df in (1e9, 1e11, 1e13, 1e14):
+        assert regression.student_two_sided(1.96, df) == pytest.approx(normal, rel=1e-8)
+    # Both ways agree where they meet, from the centre to the far tail.
+    for df in (1000.0, 1001.0, 2500.0, 1e4):
+        for t in (0.01, 0.5, 1.0, 1.96, 3.0, 6.0):
+            exact = regression.incomplete_beta(df / 2, 0.5, df / (df + t * t))
+            assert regression.student_two_sided(t, df) == pytest.approx(exact, rel=1e-8)
 
 
 @pytest.mark.parametrize("accuracy", [1000, 20])

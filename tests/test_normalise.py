@@ -104,15 +104,26 @@ def test_completeness_ignores_null_blank_and_empty(spark):
 
 def test_pages_lists_objects_and_bad_files(spark, tmp_path):
     for name, body in {"10.json": '[{"user_id": 1}, 5, {"user_id": 2}]',
-                       "100.json": '{"user_id": 3}', "20.json": '[{"user_id": 4}'}.items():
+                       "100.json": '{"user_id": 3}', "20.json": '[{"user_id": 4}',
+                       "30.json": '[{"user_id": 5, "country": "A", "country": "B"}]',
+                       "40.json": '[{"user_id": 6, "total_earnings": NaN}, {"user_id": 7}]',
+                       }.items():
         (tmp_path / name).write_text(body)
     pages = raw_json.read_pages(spark, str(tmp_path), "*.json")
     counts = raw_json.file_counts(pages).first()
-    assert (counts["total_files"], counts["malformed_files"]) == (3, 1)
+    assert (counts["total_files"], counts["malformed_files"]) == (5, 1)
     assert raw_json.bad_files(pages).first()["file"].endswith("20.json")
-    recs = raw_json.type_records(raw_json.explode_records(pages))
-    assert sorted((r["entity_id"], r["pos"]) for r in recs.collect()) == [
-        ("1", 0), ("2", 2), ("3", 0)]
+    recs = raw_json.type_records(raw_json.explode_records(pages)).collect()
+    assert sorted((r["entity_id"], r["pos"]) for r in recs) == [
+        ("1", 0), ("2", 2), ("3", 0), ("5", 0), ("6", 0), ("7", 1)]
+    assert {r["entity_id"]: r["region"] for r in recs}["5"] == "B"
+
+
+def test_a_page_too_large_is_an_error(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(raw_json, "PAGE_LIMIT", 8)
+    (tmp_path / "1.json").write_text('[{"user_id": 4}, {"user')
+    with pytest.raises(Exception, match="page too large"):
+        raw_json.bad_files(raw_json.read_pages(spark, str(tmp_path))).collect()
 
 
 def test_stream_resumes_and_equals_the_batch(spark, tmp_path):

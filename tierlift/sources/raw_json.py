@@ -54,20 +54,31 @@ UNUSED_KEYS = [
 ]
 
 
-def read_pages(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """One row per file: ``file`` (orders arrivals lexicographically) and parsed ``doc``."""
-    text = (
-        spark.read.format("text").option("wholetext", True)
-        .option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
-    )
-    return pages_from_text(text)
+# A variant holds at most this many bytes.
+PAGE_LIMIT = 128 << 20
 
 
-def pages_from_text(text: DataFrame) -> DataFrame:
-    return text.select(
+def read_pages(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """One row per file: ``file`` (orders arrivals lexicographically) and parsed ``doc``.
+
+    NaN and infinity literals are read, and of a repeated key the last value counts. A file that
+    does not parse has a null ``doc``; a page too large for a variant is an error.
+    """
+    return parsed_pages(spark, spark.read, path, pathGlobFilter=glob)
+
+
+def parsed_pages(spark: SparkSession, reader, path: str, **options) -> DataFrame:
+    """Pages through a batch or a stream reader."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    found = (
+        reader.format("json").option("multiLine", True).option("singleVariantColumn", "doc")
+        .option("recursiveFileLookup", True).options(**options).load(path))
+    size = F.col("_metadata.file_size")
+    too_large = F.raise_error(F.concat(F.lit("page too large: "), F.col("_metadata.file_path")))
+    return found.select(
         F.col("_metadata.file_path").alias("file"),
-        F.try_parse_json("value").alias("doc"),
-    )
+        F.when(F.col("doc").isNull() & (size > PAGE_LIMIT), too_large.cast("variant"))
+        .otherwise(F.col("doc")).alias("doc"))
 
 
 def bad_files(pages: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tierlift.functions.clean import clean_float
 from tierlift.operators.normalise import keep_best
-from tierlift.sources.raw_json import explode_records, pages_from_text, type_records
+from tierlift.sources.raw_json import explode_records, parsed_pages, type_records
 
 ARRIVAL = ["file", "pos"]
 
@@ -24,11 +24,8 @@ def best_records(records: DataFrame) -> DataFrame:
 
 
 def page_stream(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
-    text = (
-        spark.readStream.format("text").option("wholetext", True)
-        .option("recursiveFileLookup", True).option("maxFilesPerTrigger", max_files).load(path)
-    )
-    return type_records(explode_records(pages_from_text(text)))
+    pages = parsed_pages(spark, spark.readStream, path, maxFilesPerTrigger=max_files)
+    return type_records(explode_records(pages))
 
 
 def ingest_available(spark: SparkSession, pages: str, state: str, max_files: int = 1000) -> str:

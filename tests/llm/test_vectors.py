@@ -73,14 +73,15 @@ def test_top_k(spark, monkeypatch, blocks):
     assert sorted_lists.top_k(sorted_lists.scaled(df.limit(0), 256), F.lit(True), 5).collect() == []
 
 
-def test_bounds_stop_early_and_keep_the_best():
+@pytest.mark.parametrize("scale", [1, 10 ** 5])
+def test_bounds_keep_the_best(scale):
     draw = np.random.default_rng(3)
-    rows = draw.integers(-100, 100, size=(3000, 8))
-    lists = sorted_lists.Lists(rows)
-    for q in range(0, 3000, 300):
+    rows = draw.integers(-100, 100, size=(3000, 8)) * scale
+    lists, some = sorted_lists.Lists(rows, np.arange(3000)), np.arange(0, 3000, 300)
+    for q, best in zip(some, lists.best(rows[some], some, 5)):
         scores = rows @ rows[q]
         order = [i for i in np.lexsort((np.arange(3000), -scores)) if i != q][:5]
-        assert lists.best(rows[q], np.arange(3000), q, 5) == [(scores[i], i) for i in order]
+        assert best == [(scores[i], i) for i in order]
 
 
 @pytest.mark.parametrize("limit", [1000, 4])

@@ -33,47 +33,65 @@ QUERIES_PER_BLOCK = 4096
 # Depth of a reading step as a share of the lists, and how many candidates end the reading.
 STEP = 8
 FEW = 64
+# Queries whose bounds are held at once, two numbers per candidate each.
+AT_ONCE = 128
 
 
 class Lists:
-    """One block's lists: the position of every row in each dimension's ascending order."""
-
-    def __init__(self, rows: np.ndarray):
-        self.rows = rows.astype(np.float64)
-        n = len(rows)
-        order = np.argsort(rows, axis=0, kind="stable")
-        self.place = np.empty(rows.shape, dtype=np.int32)
-        np.put_along_axis(self.place, order, np.arange(n, dtype=np.int32)[:, None], axis=0)
-        self.sorted = np.take_along_axis(self.rows, order, axis=0)
-
-    def best(self, query: np.ndarray, ids: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
-        """``(score, id)`` of the k best rows; rows with the id ``own`` are no candidates."""
+    """One block's lists: the sorted components of each dimension."""
+
+    def __init__(self, rows: np.ndarray, ids: np.ndarray):
+        self.rows, self.ids = rows.astype(np.float64), ids
+        self.sorted = np.sort(self.rows, axis=0)
+        self.peak = float(np.abs(self.rows).max(initial=0))
+
+    def best(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
+        """Per query ``(score, id)`` of the k best rows without those that have its own id.
+
+        All queries of a call read their lists to the same depth at a time. What a list's reader
+        from the top knows of a component x is max(x, entry) as upper and, where x has not been
+        read, the list's last entry as lower bound; from the bottom it is the other way round.
+        These do not depend on the query, so its bounds are two products of matrices.
+        """
         n, width = self.rows.shape
-        used = np.flatnonzero(query[:width])
-        q = query[used].astype(np.float64)
-        down = q > 0
-        lists = self.sorted[:, used]
-        # Products in reading order: from the top for positive weights, else from the bottom.
-        last = np.where(down, lists[0], lists[-1]) * q
-        alive = np.flatnonzero(ids != own)
-        seen_sum = np.zeros(n)
+        q = queries[:, :width].astype(np.float64)
+        # Sums of integers this small are exact in single precision.
+        single = self.peak * float(np.abs(q).max(initial=0)) * width < 1 << 24
+        kind = np.float32 if single else np.float64
+        rows, lists = self.rows.astype(kind), self.sorted.astype(kind)
+        up, down = np.maximum(q, 0).astype(kind), np.minimum(q, 0).astype(kind)
+        out: list = [None] * len(q)
+        open_ = np.arange(len(q))
         depth = 0
-        while len(alive) > max(FEW, k) and depth < n:
+        while len(open_):
             depth = min(n, depth + max(1, n // STEP))
-            at = self.place[np.ix_(alive, used)]
-            seen = np.where(down, n - 1 - at, at) < depth
-            product = self.rows[np.ix_(alive, used)] * q
-            seen_sum = np.where(seen, product, 0.0).sum(axis=1)
-            if depth == n:
+            if n <= max(FEW, k) or depth == n:  # all is read
+                for i in open_:
+                    out[i] = self._resolved(np.arange(n), q[i], own[i], k)
                 break
-            next_up = np.where(down, lists[n - 1 - depth], lists[depth]) * q
-            low = seen_sum + (~seen) @ last
-            high = seen_sum + (~seen) @ next_up
-            bar = np.partition(low, len(low) - k)[len(low) - k]
-            alive = alive[high >= bar]
-        scores = (self.rows[np.ix_(alive, used)] @ q).astype(np.int64)
-        order = np.lexsort((ids[alive], -scores))[:k]
-        return [(int(scores[i]), int(ids[alive[i]])) for i in order]
+            top, bottom = lists[n - 1 - depth], lists[depth]
+            high = up[open_] @ np.maximum(rows, top).T + down[open_] @ np.minimum(rows, bottom).T
+            low = (up[open_] @ np.where(rows >= top, rows, lists[0]).T
+                   + down[open_] @ np.where(rows <= bottom, rows, lists[-1]).T)
+            left = []
+            for i, upper, lower in zip(open_, high, low):
+                mine = np.flatnonzero(self.ids == own[i])
+                upper[mine] = lower[mine] = -np.inf
+                bar = np.partition(lower, n - k)[n - k]
+                alive = np.flatnonzero(upper >= bar)
+                if len(alive) <= FEW:
+                    out[i] = self._resolved(alive, q[i], own[i], k)
+                else:
+                    left.append(i)
+            open_ = np.array(left, dtype=int)
+        return out
+
+    def _resolved(self, at: np.ndarray, query: np.ndarray, own: int,
+                  k: int) -> list[tuple[int, int]]:
+        at = at[self.ids[at] != own]
+        scores = (self.rows[at] @ query).astype(np.int64)
+        order = np.lexsort((self.ids[at], -scores))[:k]
+        return [(int(scores[i]), int(self.ids[at[i]])) for i in order]
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int, id_column: str = "vec_id",
@@ -99,11 +117,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, id_column: str = "vec_id
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         found = []
         if left.num_rows and right.num_rows:
-            lists = Lists(matrix(left.column("vector"), np.int64))
-            ids = left.column("vec_id").to_numpy()
-            asked = matrix(right.column("vector"), np.int64)
-            for own, query in zip(right.column("vec_id").to_pylist(), asked):
-                found += [(own, i, s) for s, i in lists.best(query, ids, own, k)]
+            lists = Lists(matrix(left.column("vector"), np.int64),
+                          left.column("vec_id").to_numpy())
+            asked, own = matrix(right.column("vector"), np.int64), right.column("vec_id").to_numpy()
+            for low in range(0, len(own), AT_ONCE):
+                part = own[low:low + AT_ONCE]
+                for o, best in zip(part.tolist(), lists.best(asked[low:low + AT_ONCE], part, k)):
+                    found += [(o, i, s) for s, i in best]
         columns = list(zip(*found)) or [(), (), ()]
         return pa.table({name: pa.array(c, type=pa.int64())
                          for name, c in zip(("query_id", "vec_id", "score"), columns)})

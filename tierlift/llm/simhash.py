@@ -181,7 +181,13 @@ def keep_one(docs: DataFrame, words: int = 5, radius: int = 4, id_column: str =
     id the one with the smallest text digest stays, and of rows alike in both the one with the
     smallest hash of all columns.
     """
-    groups = _groups(docs, words, radius, id_column, text_column)
+    return keep_first(docs, _groups(docs, words, radius, id_column, text_column), id_column,
+                      text_column)
+
+
+def keep_first(docs: DataFrame, groups: DataFrame, id_column: str,
+               text_column: str) -> DataFrame:
+    """The document of each ``root`` of ``groups`` that ``keep_one`` keeps."""
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "digest")
     best = stored(groups.groupBy("root").agg(F.min(order).alias("best")))
     kept, digest, row, rank = (fresh_name(docs, x) for x in ("kept", "digest", "row", "rank"))

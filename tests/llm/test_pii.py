@@ -151,3 +151,26 @@ def test_query_on_the_sample(spark, small):
         assert got[i].base_sha256 == hashlib.sha256(line.encode()).hexdigest()
         every = [line] * bool(line) + [f"term:{s}:{e}" for s, e in terms[t or ""]]
         assert got[i].spans == ",".join(every)
+
+
+def test_terms_of_whole_documents(spark, tmp_path):
+    """The query weighs and replaces a term anywhere in documents that hold its entity."""
+    rnd = random.Random(4)
+    common = ["alpha", "bravo", "charlie", "delta", "of", "straße"]
+    filler = lambda n: " ".join(rnd.choice(common) for _ in range(n))
+    texts = [filler(30) for _ in range(80)]
+    for i in range(4):  # the name stands behind the email and far from the phone
+        texts.append(f"Quixote, q{i}@x.org, {filler(40)} +1 555 010 9999 {filler(40)} é quixote Xu")
+    texts += ["bravo 10.1.1.1"] * 2
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    got = QUERIES["op5_disclosing_terms"](spark, str(tmp_path)).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        text = texts[r.doc_id]
+        spans = [x.split(":") for x in r.spans.split(",") if x.startswith("term")]
+        want = [m.span() for m in re.finditer(r"\b(quixote|é|xu)\b", text.lower())
+                if "9999" in text]
+        assert [(int(s), int(e)) for _, s, e in spans] == want
+    out = pii.sanitise(spark.createDataFrame([(t,) for t in texts], "text string"), reach=None)
+    assert not any("uixote" in r.sanitised or "Xu" in r.sanitised for r in out.collect())

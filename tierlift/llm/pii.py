@@ -2,13 +2,19 @@
 
 Base findings are matches of fixed patterns (email, ip, card, phone). Each distinct value is a
 protected entity. How strongly a term reveals an entity is estimated from the whole corpus, as
-in information-theoretic sanitisation: with counts of term and entity occurrences, and of term
-occurrences within ``REACH`` code points of the entity, the pointwise mutual information
+in information-theoretic sanitisation: the pointwise mutual information
 PMI(term; entity) = log(p(entity | term) / p(entity)) is compared with the information
 IC(entity) = -log p(entity). A term discloses an entity if PMI >= alpha * IC and they meet in
 at least ``support`` different texts. Where it discloses everything (PMI = IC: the term occurs
-nowhere else) it is removed, else generalised to ``[TERM]``. Only occurrences near the entity
-are touched, so a document without personal data never changes.
+nowhere else) it is removed, else generalised to ``[TERM]``.
+
+With ``reach=None`` probabilities are shares of documents: term and entity meet in every document
+that holds both, at any distance and beside any other identifier, words have any length, and a
+disclosing term goes wherever it occurs in a document that holds its entity. Words inside
+identifiers are not terms. With a number, only terms within so many code points of the entity
+and before the next identifier meet it, words have four letters or more, probabilities are shares
+of words, and only the occurrences so near are touched. Either way a document without personal
+data never changes.
 
 All of it is DataFrame functions. Texts are known by their MD5; equal texts are looked at once
 and count once.
@@ -19,10 +25,11 @@ row; an empty table gives an empty one; outputs replace columns of the same name
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tierlift.llm.common import drop_stored, fresh_name, stored, whole_text
+from tierlift.session import broadcast_if_small
 
 KINDS = ["email", "ip", "card", "phone"]
 # The base patterns, written so that matching takes linear time and no deep recursion: what
@@ -38,6 +45,7 @@ PATTERNS = {
 HINTS = {"email": "@", "phone": "+"}
 PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 WORD = r"(?<![\p{L}\p{N}])\p{L}[\p{L}\p{N}]{3,}"
+ANY_WORD = r"(?<![\p{L}\p{N}])\p{L}[\p{L}\p{N}]*+"
 REACH = 64
 SUPPORT = 3
 ALPHA = 0.98
@@ -105,7 +113,7 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.transform(found, named)
 
 
-def _near_terms(text: Column, spans: Column) -> Column:
+def _near_terms(text: Column, spans: Column, reach: int) -> Column:
     """Terms wholly within reach of each span: ``(entity, term, start, end)``.
 
     ``spans`` ascend. What lies beyond the spans on either side is not looked at.
@@ -127,15 +135,35 @@ def _near_terms(text: Column, spans: Column) -> Column:
         before = F.coalesce(F.get(spans, i - 1).getField("end"), F.lit(0))
         after = F.coalesce(F.get(spans, i + 1).getField("start"), size)
         start, end, entity = (x.getField(c) for c in ("start", "end", "value"))
-        left = words(F.greatest(start - REACH, before), start, entity)
-        right = words(end, F.least(end + REACH, after), entity)
+        left = words(F.greatest(start - reach, before), start, entity)
+        right = words(end, F.least(end + reach, after), entity)
         return F.concat(left, right)
 
     return F.flatten(F.transform(spans, both))
 
 
-def findings(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """Per different text: ``(text_id, base, near)``; ``base`` by kind, then start."""
+def _blanked(text: Column, places: Column) -> Column:
+    """The text with blanks in place of ascending spans, so that offsets stay."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def add(a: Column, x: Column) -> Column:
+        at, low, high = a.getField("at"), x.getField("start"), x.getField("end")
+        piece = F.concat(F.substring(text, at + 1, F.greatest(low - at, F.lit(0))),
+                         F.repeat(F.lit(" "), high - F.greatest(low, at)))
+        return F.when(high <= at, a).otherwise(F.struct(
+            high.alias("at"), F.concat(a.getField("out"), F.array(piece)).alias("out")))
+
+    return F.aggregate(places, start, add, lambda a: F.concat(
+        F.array_join(a.getField("out"), ""),
+        F.substring(text, a.getField("at") + 1, F.length(text))))
+
+
+def findings(docs: DataFrame, text_column: str = "text",
+             reach: int | None = REACH) -> DataFrame:
+    """Per different text: ``(text_id, base, near)``; ``base`` by kind, then start.
+
+    Without a reach there is ``rest`` instead of ``near``: the text without its identifiers.
+    """
     text = F.col("text")
     rows = docs.select(whole_text(f"`{text_column}`").alias("text"))
     kinds = rows.select("text", *[base_spans(text, k).alias(k) for k in KINDS])
@@ -148,8 +176,10 @@ def findings(docs: DataFrame, text_column: str = "text") -> DataFrame:
     spans = kinds.select("text", F.concat(*[of_kind(k) for k in KINDS]).alias("base"))
     ordered = spans.select("text", "base", F.array_sort(F.transform("base", lambda x: F.struct(
         *[x.getField(c).alias(c) for c in ("start", "end", "value")]))).alias("places"))
-    near = F.when(F.size("places") > 0, _near_terms(text, F.col("places")))
-    return stored(ordered.select(F.md5("text").alias("text_id"), "base", near.alias("near"))
+    more = (_blanked(text, F.col("places")) if reach is None else
+            _near_terms(text, F.col("places"), reach))
+    more = F.when(F.size("places") > 0, more).alias("rest" if reach is None else "near")
+    return stored(ordered.select(F.md5("text").alias("text_id"), "base", more)
                   .dropDuplicates(["text_id"]))
 
 
@@ -197,6 +227,63 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, alpha: float, support: i
     return out
 
 
+def _words(text: Column) -> Column:
+    words = F.regexp_extract_all(text, F.lit(ANY_WORD), F.lit(0))
+    return F.array_distinct(F.transform(words, F.lower))
+
+
+def disclosing_in_documents(docs: DataFrame, found: DataFrame, alpha: float, support: int,
+                            text_column: str = "text") -> DataFrame:
+    """``(text_id, term, ratio)``: terms that disclose an entity of the text, by documents.
+
+    Entities, then pairs, found in too few texts go before anything is joined to them. Copies
+    of a text are weights; support counts texts once.
+    """
+    copies = docs.select(F.md5(whole_text(f"`{text_column}`")).alias("text_id")).groupBy(
+        "text_id").agg(F.count(F.lit(1)).alias("copies"))
+    holds = stored(found.where("rest is not null").select(
+        "text_id", F.explode(F.array_distinct("base.value")).alias("entity")).join(
+        copies, "text_id"))
+    entities = stored(holds.groupBy("entity").agg(
+        F.sum("copies").alias("shown"), F.count(F.lit(1)).alias("texts")).where(
+        F.col("texts") >= support).select("entity", "shown"))
+    linked = stored(holds.join(entities, "entity").select("text_id", "copies", "entity"))
+    words = found.join(linked.select("text_id").distinct(), "text_id").select(
+        "text_id", F.explode(_words(F.col("rest"))).alias("term"))
+    pairs = stored(words.join(linked, "text_id").groupBy("entity", "term").agg(
+        F.sum("copies").alias("together"), F.count(F.lit(1)).alias("texts")).where(
+        F.col("texts") >= support))
+    terms = broadcast_if_small(stored(pairs.select("term").distinct()))
+    uses = docs.select(F.explode(_words(whole_text(f"`{text_column}`"))).alias("term")).join(
+        terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("uses"))
+    total = docs.select(F.count(F.lit(1)).alias("total"))
+    joined = pairs.join(entities, "entity").join(uses, "term").join(total)  # one row
+    given = F.least(F.col("together") / F.col("uses"), F.lit(1.0))
+    rare = -F.log(F.least(F.col("shown") / F.col("total"), F.lit(1.0)))
+    ratio = F.when(rare > 0, 1 + F.log(given) / rare)
+    bad = stored(joined.select("entity", "term", ratio.alias("ratio")).where(
+        F.col("ratio") >= alpha))
+    out = stored(linked.join(bad, "entity").groupBy("text_id", "term").agg(
+        F.max("ratio").alias("ratio")))
+    drop_stored(holds, entities, linked, pairs, bad)
+    return out
+
+
+def _all_places(found: DataFrame, terms: DataFrame) -> DataFrame:
+    """``(text_id, start, end, term, ratio)`` of every occurrence of the terms of a text."""
+    texts = found.join(terms.select("text_id").distinct(), "text_id").select("text_id", "rest")
+    hits = F.regexp_extract_all("rest", F.lit(ANY_WORD), F.lit(0))
+    pieces = F.arrays_zip(hits.alias("hit"), F.split("rest", ANY_WORD, -1).alias("gap"))
+    rows = texts.select("text_id", F.posexplode(pieces).alias("at", "x")).select(
+        "text_id", "at", "x.hit", "x.gap").where("hit is not null")
+    so_far = Window.partitionBy("text_id").orderBy("at").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    end = F.sum(F.length("gap") + F.length("hit")).over(so_far).cast("int")
+    placed = rows.select("text_id", F.lower("hit").alias("term"), end.alias("end"),
+                         (end - F.length("hit")).alias("start"))
+    return placed.join(terms, ["text_id", "term"])
+
+
 def _label(x: Column) -> Column:
     kind = x.getField("kind")
     return F.when(kind != "term", F.concat(F.lit("["), F.upper(kind), F.lit("]"))).when(
@@ -222,17 +309,21 @@ def _replaced(text: Column, spans: Column) -> Column:
 
 
 def sanitise(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT,
-             text_column: str = "text") -> DataFrame:
+             text_column: str = "text", reach: int | None = REACH) -> DataFrame:
     """Add ``base_spans``, ``term_spans`` and ``sanitised`` to the documents.
 
     Spans are ``(kind, start, end, value, ratio)``, base ones by kind and start, terms by start.
     """
-    found = findings(docs, text_column)
-    terms = disclosing_terms(docs, found, alpha, support, text_column)
-    near = stored(found.where("near is not null").select("text_id", F.explode("near").alias("x"))
-                  .select("text_id", "x.*"))
-    hit = near.join(terms, ["entity", "term"]).groupBy("text_id", "start", "end", "term").agg(
-        F.max("ratio").alias("ratio"))
+    found = findings(docs, text_column, reach)
+    if reach is None:
+        near = terms = disclosing_in_documents(docs, found, alpha, support, text_column)
+        hit = _all_places(found, terms)
+    else:
+        terms = disclosing_terms(docs, found, alpha, support, text_column)
+        near = stored(found.where("near is not null").select(
+            "text_id", F.explode("near").alias("x")).select("text_id", "x.*"))
+        hit = near.join(terms, ["entity", "term"]).groupBy(
+            "text_id", "start", "end", "term").agg(F.max("ratio").alias("ratio"))
     spans = stored(hit.groupBy("text_id").agg(F.array_sort(F.collect_list(F.struct(
         F.lit("term").alias("kind"), "start", "end", F.col("term").alias("value"), "ratio")))
         .alias("term_spans")))

@@ -14,8 +14,9 @@ work is that of comparing them with all rows, in blocks, less what the bounds sa
 
 Defined cases: rows whose id or vector is null, empty or not finite take no part; a shorter
 vector counts as filled up with zeros; rows that repeat an id are candidates of their own, and
-none with the query's own id is a candidate for it; a repeated query row gives its rows once;
-an empty table gives an empty one. Scores must fit 53 bits.
+none with the query's own id is a candidate for it; query rows that share an id, alike or not, each
+rank every candidate, and the k best of them all are the id's, as in the query's SQL; an empty table
+gives an empty one. Scores must fit 53 bits.
 """
 
 from __future__ import annotations

@@ -62,6 +62,12 @@ def differences(left: pd.DataFrame, right: pd.DataFrame) -> str | None:
         return f"columns {sorted(left.columns)} / {sorted(right.columns)}"
     if len(left) != len(right):
         return f"rows {len(left)} / {len(right)}"
+    left, right = left.copy(), right.copy()
+    for c in left.columns:
+        # Integers with nulls reach pandas as doubles from one side and as integers from the other.
+        kinds = {pd.api.types.is_float_dtype(x[c]): x for x in (left, right)}
+        if len(kinds) == 2 and pd.api.types.is_integer_dtype(kinds[False][c]):
+            kinds[True][c] = kinds[True][c].astype("Int64")
     a, b = canonical(left), canonical(right)
     bad = [(x, y) for x, y in zip(a, b) if x != y]
     if bad:

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierlift.llm import (
-    bpe, lines, mixing, multi_index, pii, quality, repeats, simhash, sorted_lists, token_files)
+    bpe, fill_middle, lines, mixing, multi_index, pii, quality, repeats, simhash, sorted_lists,
+    token_files)
 from tierlift.llm.common import table
 from tierlift.session import scratch_path
 
@@ -88,6 +89,13 @@ def op10_covering_simhash(spark: SparkSession, sf: str) -> DataFrame:
         "component_id")
 
 
+def op11_piece_table(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    restored = fill_middle.restore(fill_middle.arrange(docs))
+    return restored.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
+                           "output_sha256", "restored_sha256")
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_fuzzy_lines": op2_fuzzy_lines,
@@ -99,6 +107,7 @@ QUERIES = {
     "op8_multi_index": op8_multi_index,
     "op9_sorted_lists": op9_sorted_lists,
     "op10_covering_simhash": op10_covering_simhash,
+    "op11_piece_table": op11_piece_table,
 }
 
 OP9_SQL = """
@@ -120,4 +129,5 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 ORACLE = {
     "op4_poisson_mixing": mixing.ORACLE_SQL,
     "op9_sorted_lists": OP9_SQL,
+    "op11_piece_table": fill_middle.ORACLE_SQL,
 }

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from tierlift.llm import (
     bpe, fill_middle, lines, mixing, multi_index, pii, quality, repeats, simhash, sorted_lists,
-    token_files)
+    token_counts, token_files)
 from tierlift.llm.common import table
 from tierlift.session import scratch_path
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
 
 
@@ -96,6 +97,12 @@ def op11_piece_table(spark: SparkSession, sf: str) -> DataFrame:
                            "output_sha256", "restored_sha256")
 
 
+def op13_resynchronised_counts(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, WORD_TOKENIZER, limit=2048, keep_text=False).select(
+        "doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_fuzzy_lines": op2_fuzzy_lines,
@@ -108,6 +115,7 @@ QUERIES = {
     "op9_sorted_lists": op9_sorted_lists,
     "op10_covering_simhash": op10_covering_simhash,
     "op11_piece_table": op11_piece_table,
+    "op13_resynchronised_counts": op13_resynchronised_counts,
 }
 
 OP9_SQL = """

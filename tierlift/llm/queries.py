@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierlift.llm import (
-    bpe, fill_middle, lines, mixing, multi_index, pii, quality, repeats, simhash, sorted_lists,
-    token_counts, token_files)
+    bpe, conversation_trie, fill_middle, lines, mixing, multi_index, pii, quality, repeats,
+    simhash, sorted_lists, token_counts, token_files)
 from tierlift.llm.common import table
 from tierlift.session import scratch_path
 
@@ -97,6 +97,11 @@ def op11_piece_table(spark: SparkSession, sf: str) -> DataFrame:
                            "output_sha256", "restored_sha256")
 
 
+def op12_vertical_bitmaps(spark: SparkSession, sf: str) -> DataFrame:
+    turns = conversation_trie.numbered_turns(table(spark, sf, "conversations"))
+    return conversation_trie.trie(*conversation_trie.rebuilt(turns, family=20, heads=4))
+
+
 def op13_resynchronised_counts(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, WORD_TOKENIZER, limit=2048, keep_text=False).select(
@@ -115,6 +120,7 @@ QUERIES = {
     "op9_sorted_lists": op9_sorted_lists,
     "op10_covering_simhash": op10_covering_simhash,
     "op11_piece_table": op11_piece_table,
+    "op12_vertical_bitmaps": op12_vertical_bitmaps,
     "op13_resynchronised_counts": op13_resynchronised_counts,
 }
 
@@ -138,4 +144,5 @@ ORACLE = {
     "op4_poisson_mixing": mixing.ORACLE_SQL,
     "op9_sorted_lists": OP9_SQL,
     "op11_piece_table": fill_middle.ORACLE_SQL,
+    "op12_vertical_bitmaps": conversation_trie.ORACLE_SQL,
 }

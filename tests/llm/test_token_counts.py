@@ -13,7 +13,7 @@ from tierlift.llm.queries import QUERIES, TOKENIZER, WORD_TOKENIZER
 PARTS = ["a", "The", "don't", "'s", "é", "é", "ß", "İ", "日本", "😀", "1", "23", "...", "$",
          "<|endoftext|>", "<|startoftext|>", "<|endof", "̸", "́", "=", "aaaa", "ing",
          "ΑΣ", "\x00", "\xa0", " ", "\u0085", "ﬁ", "각", "가"]
-SPACES = [" ", "  ", "\n", "\t", " \r\n "]
+SPACES = [" ", "  ", "\n", "\t", " \r\n ", "\x0b", "\x0c"]
 
 
 @pytest.fixture(scope="module")

@@ -66,7 +66,7 @@ def some_texts():
 
 @pytest.mark.parametrize("limit", [2000, 3])
 def test_groups_are_those_of_all_pairs(spark, monkeypatch, limit):
-    monkeypatch.setattr(buckets.bucket_links, "__defaults__", (limit,))
+    monkeypatch.setattr(buckets.bucket_links, "__defaults__", (limit, None))
     texts = some_texts()
     rows = [(i, t) for i, t in enumerate(texts)] + [(3, texts[3]), (None, texts[9]), (None, "zz")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tierlift.functions import association as assoc
 from tierlift.operators import bundles as mining
 from tierlift.operators import regression
+from tierlift.operators import region_bundles as regional
 from tierlift.operators.quantiles import aggregate_with_quantiles
 from tierlift.operators.running import running
 
@@ -39,7 +40,48 @@ def test_tail_probability(spark):
     for r in df.select("x", assoc.chi2_survival(F.col("x")).alias("p")).collect():
         want = math.erfc(math.sqrt(r["x"] / 2))
         assert 0.0 <= r["p"] <= 1.0
-        assert r["p"] == pytest.approx(want, rel=2e-7, abs=1e-300)
+        assert r["p"] == pytest.approx(want, rel=1e-12, abs=1e-300)
+
+
+def test_evidence_where_the_p_value_is_zero(spark):
+    xs = [0.0, 1e-9, 0.3, 3.9, 7.9, 8.1, 30.0, 1400.0, 5000.0, 1e7]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    for r in df.select("x", assoc.chi2_evidence(F.col("x")).alias("e")).collect():
+        z = math.sqrt(r["x"] / 2)
+        if z < 26:
+            want = -math.log10(math.erfc(z)) + 0.0
+        else:  # the asymptotic series, exact to 1e-11 there
+            want = (z * z + math.log(z * math.sqrt(math.pi))
+                    - math.log1p(-1 / (2 * z * z) + 3 / (4 * z ** 4))) / math.log(10)
+        assert r["e"] == pytest.approx(want, rel=1e-9, abs=1e-12)
+
+
+def test_region_bundles_count_in_their_region(spark, people):
+    entities, table, rows, links = people
+    tested = regional.region_bundles(entities, table, min_holders=2, min_entities=10,
+                                     min_frequency=2, min_count=3, min_support=0.0)
+    got = tested.collect()
+    region = {e: g for e, _, _, _, _, g, _ in rows}
+    top = {e for e, *_, t in rows if t}
+    held = {}
+    for e, k in links:
+        held.setdefault(e, set()).add(k)
+    assert got and len({(r["region"], r["bundle_name"]) for r in got}) == len(got)
+    for r in got:
+        members = set(r["bundle_name"].split(" + "))
+        inside = [e for e, x in held.items() if members <= x and region[e] == r["region"]]
+        living = [e for e in region if region[e] == r["region"]]
+        assert (r["entity_count"], r["top_count"]) == (len(inside), len(top & set(inside)))
+        assert r["top_lift"] == pytest.approx(
+            len(top & set(inside)) / len(inside) * len(living) / max(1, len(top & set(living))))
+    for g in {r["region"] for r in got}:
+        family = sorted((r for r in got if r["region"] == g), key=lambda r: r["p_value"])
+        least = 1.0
+        for place in range(len(family), 0, -1):
+            least = min(least, family[place - 1]["p_value"] * len(family) / place)
+            assert family[place - 1]["adjusted_p_value"] == pytest.approx(least, rel=1e-9)
+    lead = regional.leading_bundles(tested, 3).collect()
+    assert lead and max(r["rank"] for r in lead) <= 3 and min(r["top_lift"] for r in lead) > 1
 
 
 @pytest.mark.parametrize("n, a, total, top", [
@@ -196,8 +238,8 @@ def test_student_tail():
             assert regression.student_two_sided(t, df) == pytest.approx(exact, rel=1e-8)
 
 
-@pytest.mark.parametrize("accuracy", [1000, 20])
-def test_quantiles_equal_numpy(spark, accuracy):
+@pytest.mark.parametrize("held", [200_000, 20])
+def test_quantiles_equal_numpy(spark, held):
     rng = np.random.default_rng(3)
     inf = float("inf")
     groups = {"hot": rng.lognormal(3, 2, 6000).round(2), "ties": np.repeat([1.0, 2.0], 300),
@@ -209,7 +251,7 @@ def test_quantiles_equal_numpy(spark, accuracy):
     df = spark.createDataFrame(rows, "g string, v double, w double")
     spec = {"v50": ("v", 0.5), "v90": ("v", 0.9), "w25": ("w", 0.25), "v0": ("v", 0.0),
             "v100": ("v", 1.0)}
-    out = aggregate_with_quantiles(df, ["g"], [F.count("v").alias("n")], spec, accuracy)
+    out = aggregate_with_quantiles(df, ["g"], [F.count("v").alias("n")], spec, held)
     found = {r["g"]: r for r in out.collect()}
     assert set(found) == {*groups, "nothing"}
     assert [found["nothing"][c] for c in ("n", *spec)] == [0] + [None] * 5
@@ -223,11 +265,26 @@ def test_quantiles_equal_numpy(spark, accuracy):
             assert found[g]["v90"] == pytest.approx(np.percentile(vs, 90), rel=1e-12)
     assert found["ends"]["v90"] == inf
     finite = df.where("g is null or g <> 'ends'")
-    whole = aggregate_with_quantiles(finite, [], [], {"q": ("v", 0.9)}, accuracy).first()
+    whole = aggregate_with_quantiles(finite, [], [], {"q": ("v", 0.9)}, held).first()
     everything = np.concatenate([v for g, v in groups.items() if g != "ends"])
     assert whole["q"] == pytest.approx(np.percentile(everything, 90), rel=1e-12)
 
 
+def test_large_groups_are_narrowed_more_than_once(spark):
+    n = 60_000
+    df = spark.range(n, numPartitions=4).select(
+        (F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 7).alias("v"), (F.col("id") % 2).alias("g"),
+        F.when(F.col("id") % 2 == 0, F.lit(None)).otherwise(F.col("id")).cast("double").alias("w"))
+    values = df.toPandas()
+    spec = {"a": ("v", 0.5), "b": ("v", 0.999), "c": ("w", 0.25)}
+    got = {r["g"]: r for r in aggregate_with_quantiles(df, ["g"], [], spec, held=5).collect()}
+    for g, part in values.groupby("g"):
+        assert got[g]["a"] == pytest.approx(np.percentile(part["v"], 50), rel=1e-12)
+        assert got[g]["b"] == pytest.approx(np.percentile(part["v"], 99.9), rel=1e-12)
+    assert got[0]["c"] is None
+    assert got[1]["c"] == pytest.approx(np.percentile(values["w"].dropna(), 25), rel=1e-12)
+
+
 def test_nan_is_the_largest_value(spark):
     nan = float("nan")
     df = spark.createDataFrame([(v,) for v in [1.0, 2.0, nan, 3.0, nan, None]], "v double")

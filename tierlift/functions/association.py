@@ -6,26 +6,41 @@ exist and ``top`` of them carry the label.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 Z95 = 1.96
 
-# Published Chebyshev-fit coefficients of the complementary error
-# function (relative error below 1.2e-7), constant term first.
-ERFC_COEFFICIENTS = [
-    -1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806,
-    0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277,
-]
+# Below BORDER the tail of the normal distribution is 1 minus a series, above it a continued
+# fraction; both have so many terms that doubles show no difference.
+BORDER = 2.0
+TERMS = 40
+
+
+def _tail_series(x: Column) -> Column:
+    """erfc by Kummer's series of erf, all terms positive; for small ``x >= 0``."""
+    total = F.lit(1.0)
+    for n in range(TERMS, 0, -1):
+        total = F.lit(1.0) + total * x * x * F.lit(2.0 / (2 * n + 1))
+    return F.lit(1.0) - F.lit(2.0 / math.sqrt(math.pi)) * x * F.exp(-x * x) * total
+
+
+def _tail_fraction(x: Column) -> Column:
+    """exp(x^2) * erfc(x) by a continued fraction, which neither over- nor underflows."""
+    below = x
+    for k in range(TERMS, 0, -1):
+        below = x + F.lit(k / 2.0) / below
+    return F.lit(1.0 / math.sqrt(math.pi)) / below
 
 
 def erfc(x: Column) -> Column:
-    """Complementary error function for ``x >= 0``."""
-    t = F.lit(1.0) / (F.lit(1.0) + F.lit(0.5) * x)
-    poly = F.lit(ERFC_COEFFICIENTS[-1])
-    for coefficient in reversed(ERFC_COEFFICIENTS[:-1]):
-        poly = F.lit(coefficient) + t * poly
-    return t * F.exp(poly - x * x)
+    """Complementary error function for ``x >= 0``, to the precision of doubles.
+
+    ``x`` stands in the expression once per term, so it had better be a plain column.
+    """
+    return F.when(x < BORDER, _tail_series(x)).otherwise(F.exp(-x * x) * _tail_fraction(x))
 
 
 def chi2_survival(stat: Column) -> Column:
@@ -33,18 +48,25 @@ def chi2_survival(stat: Column) -> Column:
     return F.least(F.lit(1.0), erfc(F.sqrt(stat / F.lit(2.0))))
 
 
-def normal_two_sided(z: Column) -> Column:
-    return F.least(F.lit(1.0), erfc(F.abs(z) / F.sqrt(F.lit(2.0))))
+def chi2_evidence(stat: Column) -> Column:
+    """-log10 of ``chi2_survival``, also where the p-value itself is too small for a double."""
+    x = F.sqrt(stat / F.lit(2.0))
+    log_p = F.when(x < BORDER, F.log(F.least(F.lit(1.0), _tail_series(x)))).otherwise(
+        F.log(_tail_fraction(x)) - x * x)
+    # Minus zero would not equal zero as a value.
+    return F.lit(0.0) - log_p / F.lit(math.log(10.0))
 
 
-def contingency(n: Column, a: Column, total: int, top: int) -> dict[str, Column]:
+def contingency(n: Column, a: Column, total: int | Column, top: int | Column) -> dict[str, Column]:
+    """The four cells; totals are numbers or, for a population per row, columns."""
+    total, top = (x if isinstance(x, Column) else F.lit(x) for x in (total, top))
     a = a.cast("double")
     b = n.cast("double") - a
     return {
         "a": a,
         "b": b,
-        "c": F.lit(float(top)) - a,
-        "d": F.lit(float(total - top)) - b,
+        "c": top.cast("double") - a,
+        "d": (total - top).cast("double") - b,
     }
 
 

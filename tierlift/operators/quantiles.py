@@ -1,9 +1,10 @@
 """Exact grouped quantiles with linear interpolation, one way for every size.
 
-A first pass keeps a bounded sketch per group and quantile; it brackets the wanted rank. A
-second pass counts equal values inside the brackets and how many rows lie below, and the
-order statistics are read from running counts. Rows outside the brackets collapse before the
-shuffle, and the running counts are cut into blocks, so no task holds a group.
+The order statistics of a group are read from counts of its different values, combined before
+the shuffle. A task may hold so many of them only, so a group with more values is narrowed
+first: bounded sketches bracket each wanted rank, and values outside its bracket become minus
+or plus infinity, which keeps every rank in its place. Narrowing goes on until what lies inside
+the brackets fits.
 """
 
 from __future__ import annotations
@@ -11,13 +12,66 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tierlift.operators.running import running
 from tierlift.session import broadcast_if_small, cut_lineage
 
 Spec = tuple[str, float]
-# A sketch errs by at most 1 / ACCURACY of the ranks; a bracket reaches four times as far.
-ACCURACY = 1000
-BLOCKS = 256
+# Values of one group and column that a task may hold, about 60 bytes each.
+HELD = 200_000
+# A sketch errs by a tenth of a step; a bracket reaches two steps past the wanted rank.
+STEPS = 500
+INFINITY = float("inf")
+
+
+def _at(column: str) -> Column:
+    """The value as it is ordered: sketches compare numbers, so NaN counts as infinite."""
+    return F.nanvl(F.col(column).cast("double"), F.lit(INFINITY))
+
+
+def _matched(df: DataFrame, brackets: DataFrame, keys: list[str], how: str) -> DataFrame:
+    on = F.lit(True)
+    for k in keys:
+        on = on & df[k].eqNullSafe(brackets[f"_of_{k}"])
+    return df.join(broadcast_if_small(brackets), on, how)
+
+
+def _brackets(df: DataFrame, keys: list[str], quantiles: dict[str, Spec],
+              large: DataFrame, held: int) -> DataFrame:
+    """``(_of_<key> …, _low<i>, _high<i>)`` for the large groups."""
+    specs = list(enumerate(quantiles.values()))
+    now = large.select(*[F.col(f"`{k}`").alias(f"_of_{k}") for k in keys],
+                       *[F.lit(sign * INFINITY).alias(f"_{side}{i}") for i, _ in specs
+                         for side, sign in (("low", -1), ("high", 1))])
+    while True:
+        rows = _matched(df, now, keys, "inner")
+        parts = []
+        for i, (c, _) in specs:
+            at, low, high = _at(c), F.col(f"_low{i}"), F.col(f"_high{i}")
+            inside = F.when((at >= low) & (at <= high), at)
+            grid = [s / STEPS for s in range(STEPS + 1)]
+            parts += [F.percentile_approx(inside, grid, 10 * STEPS).alias(f"_s{i}"),
+                      F.count(inside).alias(f"_m{i}"), F.count_if(at < low).alias(f"_b{i}"),
+                      F.count(c).alias(f"_n{i}")]
+        sketched = rows.groupBy(*[c for c in now.columns if c.startswith("_of_")]).agg(*parts)
+        edges, left = [], F.lit(0)
+        for i, (_, q) in specs:
+            m, rank = F.col(f"_m{i}"), (F.col(f"_n{i}") - 1) * F.lit(float(q))
+            # A column without values in the group has no rank and no bracket.
+            first = F.floor(F.try_divide(F.floor(rank) - F.col(f"_b{i}"), m) * STEPS) - 2
+            last = F.ceil(F.try_divide(F.ceil(rank) - F.col(f"_b{i}") + 1, m) * STEPS) + 2
+            first = F.when(m > 0, F.greatest(first, F.lit(0)).cast("int"))
+            last = F.when(m > 0, F.least(last, F.lit(STEPS)).cast("int"))
+            low, high = F.get(f"_s{i}", first), F.get(f"_s{i}", last)
+            edges += [low.alias(f"_low{i}"), high.alias(f"_high{i}")]
+            # Equal values are one, so a bracket that is one value needs no room.
+            wide = low < high
+            left = F.greatest(left, F.when(wide, m * (last - first + 1) / STEPS))
+        narrowed = cut_lineage(sketched.select(
+            *[c for c in now.columns if c.startswith("_of_")], *edges, left.alias("_left"),
+            F.greatest(F.lit(0), *[f"_m{i}" for i, _ in specs]).alias("_had")))
+        now = narrowed.drop("_left", "_had")
+        # Brackets of few different values can't get narrower; these fit as they are.
+        if narrowed.where((F.col("_left") > held) & (F.col("_left") < F.col("_had"))).isEmpty():
+            return now
 
 
 def aggregate_with_quantiles(
@@ -25,91 +79,36 @@ def aggregate_with_quantiles(
     keys: list[str],
     aggregates: list[Column],
     quantiles: dict[str, Spec],
-    accuracy: int = ACCURACY,
+    held: int = HELD,
 ) -> DataFrame:
     """``groupBy(keys).agg(aggregates)`` plus exact quantile columns ``{out: (column, q)}``.
 
     Nulls do not count; NaN is larger than any number; a group without values gets null. Null
     keys are a group like any other.
     """
-    names = list(quantiles)
-    value = [F.col(quantiles[o][0]).cast("double") for o in names]
-    q = [quantiles[o][1] for o in names]
-    sketch = []
-    for i in range(len(names)):
-        low, high = max(0.0, q[i] - 4 / accuracy), min(1.0, q[i] + 4 / accuracy)
-        # Sketches compare numbers, so NaN counts as infinite there. In a small group ranks lie
-        # farther apart than the sketch's percentages; its bracket is all of it.
-        at, n = F.nanvl(value[i], F.lit(float("inf"))), F.count(value[i])
-        sketch.append(n.alias(f"_n{i}"))
-        sketch.append(F.when(n <= 10 * accuracy, F.array(F.min(at), F.max(at))).otherwise(
-            F.percentile_approx(at, [low, high], accuracy)).alias(f"_b{i}"))
-    # Several columns may share a name with an aggregate, so the sketches have names of their own.
-    base = cut_lineage(df.groupBy(*keys).agg(*aggregates, *sketch))
-    group = F.struct(*keys, F.lit(0).alias("_one"))
-    bounds = base.select(group.alias("_g"), *[f"_{x}{i}" for i in range(len(names)) for x in "nb"])
-
     columns = sorted({c for c, _ in quantiles.values()})
-    rows = df.select(group.alias("_k"), *columns)
-    # Without keys there is one row of bounds.
-    matched = (rows.join(broadcast_if_small(bounds), rows["_k"].eqNullSafe(bounds["_g"]))
-               if keys else rows.join(F.broadcast(bounds)))
-    inside, below = [], []
-    for i, c in enumerate(value):
-        at = F.nanvl(c, F.lit(float("inf")))
-        low, high = F.col(f"_b{i}")[0], F.col(f"_b{i}")[1]
-        inside.append(F.when((at >= low) & (at <= high), c).alias(f"_v{i}"))
-        below.append(F.count_if(at < low).alias(f"_u{i}"))
-    # Rows outside all brackets of a group are one row from here on.
-    counted = matched.groupBy("_k", *inside).agg(F.count(F.lit(1)).alias("_m"), *below)
-    parts = [F.struct(F.lit(i).alias("i"), F.lit(inner).alias("inner"),
-                      (F.col(f"_v{i}") if inner else F.lit(None).cast("double")).alias("v"),
-                      F.col("_m" if inner else f"_u{i}").alias("m"))
-             for i in range(len(names)) for inner in (True, False)]
-    values = (
-        counted.select("_k", F.explode(F.array(*parts)).alias("x")).select("_k", "x.*")
-        .where(F.when(F.col("inner"), F.col("v").isNotNull()).otherwise(F.col("m") > 0))
-        .groupBy("_k", "i", "inner", "v").agg(F.sum("m").alias("m")))
-
-    def pick(stem: str, part: int | None = None) -> Column:
-        return F.element_at(F.array(*[
-            F.col(f"_{stem}{i}") if part is None else F.col(f"_{stem}{i}")[part]
-            for i in range(len(names))]), F.col("i") + 1)
-
-    sides = values.join(broadcast_if_small(bounds), values["_k"].eqNullSafe(bounds["_g"])).select(
-        "_k", "i", "inner", "v", "m", pick("n").alias("n"), pick("b", 0).alias("low"),
-        pick("b", 1).alias("high"))
-    # Blocks ascend with the values; what lies below the bracket is block -1.
-    width = F.col("high") - F.col("low")
-    inner_block = F.when(
-        (width > 0) & (width < float("inf")) & (F.nanvl("v", F.lit(float("inf"))) <= F.col("high")),
-        F.least(F.floor((F.col("v") - F.col("low")) / width * BLOCKS), F.lit(BLOCKS)))
-    blocked = cut_lineage(sides.withColumn("block", F.when(~F.col("inner"), -1).otherwise(
-        F.coalesce(inner_block, F.lit(0)))))
-    scanned = running(blocked.withColumn("_j", F.struct("_k", "i")), ["_j"], "block",
-                      ["inner", "v"], "m", "sum", "upto")
-    position = (F.col("n") - 1) * F.element_at(F.array(*[F.lit(float(x)) for x in q]),
-                                               F.col("i") + 1)
-    ranked = (
-        scanned.withColumn("position", position)
-        .withColumn("k0", F.floor("position")).withColumn("k1", F.ceil("position"))
-        .groupBy("_k", "i")
-        .agg(F.min(F.when(F.col("inner") & (F.col("upto") > F.col("k0")), F.col("v"))).alias("v0"),
-             F.min(F.when(F.col("inner") & (F.col("upto") > F.col("k1")), F.col("v"))).alias("v1"),
-             F.sum(F.when(F.col("inner"), 0).otherwise(F.col("m"))).alias("below"),
-             F.max("upto").alias("seen"), F.first("position").alias("position"),
-             F.first("k0").alias("k0"), F.first("k1").alias("k1")))
-    bracketed = (F.col("below") <= F.col("k0")) & (F.col("seen") > F.col("k1"))
-    mixed = F.when(F.col("v0") == F.col("v1"), F.col("v0")).otherwise(
-        (F.col("k1") - F.col("position")) * F.col("v0")
-        + (F.col("position") - F.col("k0")) * F.col("v1"))
-    exact = ranked.select("_k", "i", F.when(bracketed, mixed).otherwise(
-        F.raise_error(F.lit("quantile sketch missed its rank"))).alias("value"))
-    wide = exact.groupBy("_k").agg(*[
-        F.max(F.when(F.col("i") == i, F.col("value"))).alias(out)
-        for i, out in enumerate(names)])
-    keyed = base.withColumn("_g", group).drop(*[f"_{x}{i}" for i in range(len(names)) for x in "nb"])
-    return keyed.join(wide, keyed["_g"].eqNullSafe(wide["_k"]), "left").drop("_g", "_k")
+    counts = df.groupBy(*keys).agg(*[F.count(c).alias(f"_{i}") for i, c in enumerate(columns)])
+    large = cut_lineage(counts.where(F.greatest(
+        F.lit(0), *[f"_{i}" for i in range(len(columns))]) > held))
+    narrow = not large.isEmpty()
+    rows = df
+    if narrow:
+        rows = _matched(df, _brackets(df, keys, quantiles, large, held), keys, "left")
+    found = []
+    for i, (out, (c, q)) in enumerate(quantiles.items()):
+        value = F.col(c).cast("double")
+        if not narrow:
+            found.append(F.percentile(value, float(q)).alias(out))
+            continue
+        at, low, high = _at(c), F.col(f"_low{i}"), F.col(f"_high{i}")
+        kept = F.when(at < low, -INFINITY).when(at > high, INFINITY).otherwise(value)
+        rank = (F.count(c) - 1) * F.lit(float(q))
+        missed = (F.count_if(at < low) > F.floor(rank)) | (
+            F.count(c) - F.count_if(at > high) <= F.ceil(rank))
+        found.append(F.when(missed & (F.count(c) > 0), F.raise_error(
+            F.lit("quantile sketch missed its rank"))).otherwise(
+            F.percentile(kept, float(q))).alias(out))
+    return rows.groupBy(*[df[k] for k in keys]).agg(*aggregates, *found)
 
 
 def quantile_value(df: DataFrame, column: str, q: float) -> Column:

@@ -22,6 +22,7 @@ class Thresholds:
     seed: int = 42
     min_region_entities: int = 15
     min_locality_entities: int = 5
+    min_region_holders: int = 5
 
 
 DEFAULTS = Thresholds()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tierlift.functions.association import ERFC_COEFFICIENTS
+from tierlift.plans import ordered_queries, stream_queries
 
 # The English stop words of Spark ML, stated here for the SQL side.
 ENGLISH = """
@@ -151,11 +151,18 @@ doc_entities AS (
 # --- bundles ----------------------------------------------------------------------
 
 
+def scaled_tail_sql(x: str) -> str:
+    """exp(x^2) erfc(x) less its pole term: the trapezoid sum, step 1/2, of exp(-t^2)/(t^2+x^2)."""
+    terms = " + ".join(f"exp(-{n * n / 4}::double) / ({n * n / 4}::double + {x} * {x})"
+                       for n in range(1, 15))
+    return f"({x} / (2 * pi()) * (1 / ({x} * {x}) + 2 * ({terms})))"
+
+
 def erfc_sql(x: str) -> str:
-    poly = f"{ERFC_COEFFICIENTS[-1]}::double"
-    for coefficient in reversed(ERFC_COEFFICIENTS[:-1]):
-        poly = f"({coefficient}::double + t * {poly})"
-    return f"(t * exp({poly} - {x} * {x}))"
+    """Another way to the same function: the sum above and the residue of its pole."""
+    pole = f"CASE WHEN {x} < 2 * pi() THEN 2 / (1 - exp(4 * pi() * {x})) ELSE 0 END"
+    return (f"CASE WHEN {x} = 0 THEN 1.0::double "
+            f"ELSE exp(-{x} * {x}) * {scaled_tail_sql(x)} + {pole} END")
 
 
 MINING = ENTITIES + """,
@@ -207,7 +214,7 @@ chis AS (
          / ((ca + cb) * (cc + cd) * (ca + cc) * (cb + cd) + 1e-9) AS chi2
   FROM odds),
 tails AS (
-  SELECT *, sqrt(chi2 / 2) AS z, 1 / (1 + 0.5::double * sqrt(chi2 / 2)) AS t FROM chis),
+  SELECT *, sqrt(chi2 / 2) AS z FROM chis),
 bundles AS (
   SELECT list_aggregate(members, 'string_agg', ' + ') AS bundle_name, members,
          to_json(members)::varchar AS bundle_items, bundle_size, n AS entity_count,
@@ -228,6 +235,61 @@ fdr AS (
                               AND CURRENT ROW) AS rank FROM bundles))
 """
 
+REGIONAL = MINING + f""",
+regions AS (
+  SELECT region, count(*) AS region_entities, count(*) FILTER (WHERE is_top) AS region_top
+  FROM entities WHERE region <> 'Unknown' GROUP BY region HAVING count(*) >= 15),
+placed AS (
+  SELECT c.*, e.region FROM coded c JOIN entities e USING (entity_id)
+  WHERE e.region <> 'Unknown'),
+regional_held AS (
+  SELECT x.region, [x.r, y.r] AS ranks, count(*) AS n, sum(x.top)::bigint AS a
+  FROM placed x JOIN placed y ON x.entity_id = y.entity_id AND x.r < y.r
+  SEMI JOIN pairs p ON p.i = x.r AND p.j = y.r
+  GROUP BY x.region, x.r, y.r HAVING count(*) >= 5
+  UNION ALL
+  SELECT x.region, [x.r, y.r, z.r], count(*), sum(x.top)::bigint
+  FROM triples t JOIN placed x ON x.r = t.i
+  JOIN placed y ON y.r = t.j AND y.entity_id = x.entity_id
+  JOIN placed z ON z.r = t.k AND z.entity_id = x.entity_id
+  GROUP BY x.region, x.r, y.r, z.r HAVING count(*) >= 5),
+regional AS (
+  SELECT h.*, g.region_entities AS total, g.region_top AS top, a::double AS ca,
+         (n - a)::double AS cb, (region_top - a)::double AS cc,
+         (region_entities - region_top - (n - a))::double AS cd
+  FROM regional_held h JOIN regions g USING (region)),
+measured AS (
+  SELECT *, ((ca + h) * (cd + h)) / ((cb + h) * (cc + h)) AS odds_ratio,
+         greatest(abs(ca * cd - cb * cc) - (ca + cb + cc + cd) / 2, 0) AS gap
+  FROM (SELECT *, CASE WHEN least(ca, cb, cc, cd) = 0 THEN 0.5::double ELSE 0 END AS h
+        FROM regional)),
+tested AS (
+  SELECT *, sqrt(chi2 / 2) AS z FROM (
+    SELECT *, ((ca + cb + cc + cd) * (gap * gap))
+           / ((ca + cb) * (cc + cd) * (ca + cc) * (cb + cd) + 1e-9) AS chi2 FROM measured)),
+named_regional AS (
+  SELECT region, (SELECT string_agg(item_name, ' + ' ORDER BY item_name) FROM items
+                  WHERE list_contains(ranks, r)) AS bundle_name, len(ranks)::int AS bundle_size,
+         n AS entity_count, a AS top_count, a::double / n AS top_rate,
+         CASE WHEN top > 0 THEN (a::double / n) / (top::double / total) ELSE 1 END AS top_lift,
+         odds_ratio, chi2, least(1.0::double, {erfc_sql('z')}) AS p_value
+  FROM tested),
+regional_fdr AS (
+  SELECT *, min(least(1.0::double, p_value * m / rank)) OVER (
+           PARTITION BY region ORDER BY p_value DESC, rank DESC
+           RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS adjusted_p_value
+  FROM (SELECT *, count(*) OVER (PARTITION BY region) AS m,
+               count(*) OVER (PARTITION BY region ORDER BY p_value
+                              RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rank
+        FROM named_regional))
+"""
+
+REGIONAL_COLUMNS = """region, bundle_name, bundle_size, entity_count, top_count,
+       round(top_rate, 6) AS top_rate, round(top_lift, 6) AS top_lift,
+       round(odds_ratio, 6) AS odds_ratio, round(chi2, 6) AS chi2,
+       round(p_value, 6) AS p_value, round(adjusted_p_value, 6) AS adjusted_p_value,
+       adjusted_p_value < 0.05 AS is_significant"""
+
 BY_LIFT = "top_lift DESC, entity_count DESC, bundle_name"
 
 # --- graph ------------------------------------------------------------------------
@@ -436,7 +498,7 @@ SELECT CASE WHEN width > 0 THEN least(floor(({column} - lo) / width), {bins} - 1
 FROM {source}, bounds GROUP BY ALL"""
 
 
-ORACLE: dict[str, str] = {
+ORACLE: dict[str, str] = ordered_queries.ORACLE | stream_queries.ORACLE | {
     "item_statistics": f"""WITH {STATS}
 SELECT * REPLACE (round(median_log_metric, 6) AS median_log_metric) FROM stats""",
     "overview_metrics": f"WITH {OVERVIEW} SELECT * FROM overview",
@@ -570,6 +632,24 @@ SELECT bundle_name, bundle_items, bundle_size, entity_count, support, expected_p
     "bundle_fdr": f"""WITH {BUNDLES}
 SELECT bundle_name, round(p_value, 9) AS p_value, round(adjusted_p_value, 9) AS adjusted_p_value,
        adjusted_p_value < 0.05 AS is_significant FROM fdr""",
+    "bundle_evidence": f"""WITH {BUNDLES}
+SELECT bundle_name, round(chi2, 6) AS chi2, round(CASE WHEN z = 0 THEN 0
+         WHEN z < 2 * pi() THEN -log10(least(1.0::double, {erfc_sql('z')}))
+         ELSE (z * z - ln({scaled_tail_sql('z')})) / ln(10) END, 6) AS neg_log10_p
+FROM (SELECT *, sqrt(chi2 / 2) AS z FROM bundles)""",
+    "region_cube": f"""WITH {ENTITIES}
+SELECT CASE grouping(region, locality) WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END::int
+         AS level, region, locality, count(*) AS entity_count,
+       count(DISTINCT metric) AS n_distinct, round(quantile_cont(metric, 0.5), 6) AS median_metric,
+       round(quantile_cont(metric, 0.9), 6) AS p90_metric
+FROM entities GROUP BY CUBE (region, locality)""",
+    "region_bundles": f"WITH {REGIONAL} SELECT {REGIONAL_COLUMNS} FROM regional_fdr",
+    "region_leading_bundles": f"""WITH {REGIONAL}
+SELECT {REGIONAL_COLUMNS}, rank FROM (
+  SELECT * EXCLUDE (rank), row_number() OVER (
+    PARTITION BY region ORDER BY adjusted_p_value < 0.05 DESC, top_lift DESC,
+    entity_count DESC, bundle_name)::int AS rank
+  FROM regional_fdr WHERE top_lift > 1) WHERE rank <= 5""",
     "bundle_ols_single": f"""WITH {BUNDLES},
 chosen AS (SELECT bundle_name, members FROM bundles ORDER BY {BY_LIFT} LIMIT 30),
 wanted AS (SELECT bundle_name, len(members) AS size, unnest(members) AS item_name FROM chosen),

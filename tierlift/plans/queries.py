@@ -11,19 +11,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierlift.functions import clean, naming
+from tierlift.functions import association, clean, naming
 from tierlift.functions.text import stop_words, tokens, unigrams_and_bigrams
 from tierlift.operators import (
-    bundles as mining, geography, graph, item_stats, normalise, profiling, regression,
-    summary, text_terms, views,
+    bundles as mining, geography, graph, item_stats, normalise, profiling, region_bundles as regional,
+    regression, summary, text_terms, views,
 )
-from tierlift.plans import bindings as b
+from tierlift.plans import bindings as b, ordered_queries, stream_queries
 from tierlift.session import cut_lineage, scratch_path
 from tierlift.sources import raw_json, tables
 from tierlift.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
+QUERIES: dict[str, Query] = ordered_queries.QUERIES | stream_queries.QUERIES
 
 
 def query(fn: Query) -> Query:
@@ -313,6 +313,31 @@ def odds_ratio_chart(spark: SparkSession, sf: str) -> DataFrame:
         b.entities(spark, sf), b.links(spark, sf), b.bundles(spark, sf)))
 
 
+@query
+def bundle_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    df = b.bundles(spark, sf).select(
+        "bundle_name", "chi2", association.chi2_evidence(F.col("chi2")).alias("neg_log10_p"))
+    return rounded(df, 6, "chi2", "neg_log10_p")
+
+
+REGIONAL = ["top_rate", "top_lift", "odds_ratio", "chi2", "p_value", "adjusted_p_value"]
+
+
+def _regional(spark: SparkSession, sf: str) -> DataFrame:
+    return b.once(spark, sf, "region_bundles", lambda: regional.region_bundles(
+        b.entities(spark, sf), b.links(spark, sf)), cut_lineage)
+
+
+@query
+def region_bundles(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_regional(spark, sf), 6, *REGIONAL)
+
+
+@query
+def region_leading_bundles(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(regional.leading_bundles(_regional(spark, sf)), 6, *REGIONAL)
+
+
 @query
 def bundle_members(spark: SparkSession, sf: str) -> DataFrame:
     return views.bundle_members(b.bundles(spark, sf))

@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tierlift.llm import buckets, simhash
+from tierlift.llm import simhash
 from tierlift.llm.components import connected_components
 from tierlift.llm.queries import QUERIES
 
@@ -66,7 +66,8 @@ def some_texts():
 
 @pytest.mark.parametrize("limit", [2000, 3])
 def test_groups_are_those_of_all_pairs(spark, monkeypatch, limit):
-    monkeypatch.setattr(buckets.bucket_links, "__defaults__", (limit, None))
+    run = simhash.bucket_links
+    monkeypatch.setattr(simhash, "bucket_links", lambda *a, **k: run(*a, **(k | {"limit": limit})))
     texts = some_texts()
     rows = [(i, t) for i, t in enumerate(texts)] + [(3, texts[3]), (None, texts[9]), (None, "zz")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")

@@ -61,12 +61,14 @@ def bucket_links(
     spread_by: str,
     limit: int = LIMIT,
     screen: Screen | None = None,
+    made: list[DataFrame] | None = None,
 ) -> DataFrame:
     """Everything ``compare`` returns for the buckets; keys must be integers and not null.
 
     ``spread_by`` is the column by which the rows of a large bucket are dealt into blocks.
     ``screen`` tells at once for two sets of rows, pairwise, which might link; buckets of up to
-    ``SCREENED`` rows without such a pair are passed over.
+    ``SCREENED`` rows without such a pair are passed over. Stored tables that the result reads are
+    added to ``made``, for the caller to drop.
     """
     names = [f.name for f in schema.fields]
     marks = T.StructType([T.StructField("large", T.LongType())]
@@ -101,6 +103,8 @@ def bucket_links(
 
     dealt = rows.repartition(*keys).sortWithinPartitions(*keys)
     first = stored(dealt.mapInArrow(first_pass, marks))
+    if made is not None:
+        made.append(first)
     large = first.where("large is not null").select(*keys, "large")
     out = first.where("large is null").select(*names)
     if large.isEmpty():

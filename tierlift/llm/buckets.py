@@ -25,6 +25,7 @@ LIMIT = 2000
 # first so many rows and the others.
 Compare = Callable[[pa.Table, int | None], pa.Table | None]
 Screen = Callable[[pa.Table, np.ndarray, np.ndarray], np.ndarray]
+Pairs = Callable[[pa.Table, np.ndarray, np.ndarray], pa.Table]
 SCREENED = 16
 
 
@@ -61,13 +62,15 @@ def bucket_links(
     spread_by: str,
     limit: int = LIMIT,
     screen: Screen | None = None,
+    pairs: Pairs | None = None,
     made: list[DataFrame] | None = None,
 ) -> DataFrame:
     """Everything ``compare`` returns for the buckets; keys must be integers and not null.
 
     ``spread_by`` is the column by which the rows of a large bucket are dealt into blocks.
     ``screen`` tells at once for two sets of rows, pairwise, which might link; buckets of up to
-    ``SCREENED`` rows without such a pair are passed over. Stored tables that the result reads are
+    ``SCREENED`` rows without such a pair are passed over, and ``pairs``, if given, makes the rows
+    of all others of that size at once, from their pairs that might link. Stored tables that the result reads are
     added to ``made``, for the caller to drop.
     """
     names = [f.name for f in schema.fields]
@@ -83,9 +86,17 @@ def bucket_links(
             starts = _starts(table, keys)
             ends = np.append(starts[1:], table.num_rows)
             many = np.flatnonzero(ends - starts > 1)
+            done = []
             if screen is not None and len(many):
-                many = _promising(table, starts, ends, many, screen)
-            found = [compare(table.slice(int(starts[i]), int(ends[i] - starts[i])), None)
+                left, right = _near_pairs(table, starts, ends, many, screen)
+                if pairs is not None:
+                    many = many[(ends - starts)[many] > SCREENED]
+                    done = [pairs(table, left, right)] if len(left) else []
+                else:
+                    run = np.repeat(np.arange(len(starts)), ends - starts)
+                    good = np.union1d(run[left], many[(ends - starts)[many] > SCREENED])
+                    many = good.astype(many.dtype)
+            found = done + [compare(table.slice(int(starts[i]), int(ends[i] - starts[i])), None)
                      for i in many]
             yield from _plain([f for f in found if f is not None and f.num_rows], marks)
 
@@ -120,17 +131,20 @@ def bucket_links(
     return out.union(dealt.mapInArrow(second_pass, marks).select(*names))
 
 
-def _promising(table: pa.Table, starts: np.ndarray, ends: np.ndarray, many: np.ndarray,
-               screen: Screen) -> np.ndarray:
+def _near_pairs(table: pa.Table, starts: np.ndarray, ends: np.ndarray, many: np.ndarray,
+                screen: Screen) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of small buckets that might link."""
     sizes = ends - starts
     run = np.repeat(np.arange(len(starts)), sizes)
     small = (sizes <= SCREENED)[run]
-    good = sizes > SCREENED
+    found = [np.array([], dtype=np.int64)]
+    steps = [found[0]]
     for step in range(1, min(SCREENED, int(sizes[many].max()))):
         left = np.flatnonzero((run[:-step] == run[step:]) & small[:-step])
         if len(left):
-            good[run[left[screen(table, left, left + step)]]] = True
-    return many[good[many]]
+            found.append(left[screen(table, left, left + step)])
+            steps.append(found[-1] + step)
+    return np.concatenate(found), np.concatenate(steps)
 
 
 def _bounded(batches: Iterator[pa.RecordBatch], keys: list[str], limit: int):

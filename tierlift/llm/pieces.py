@@ -41,13 +41,14 @@ def encode_texts(
     encode_pieces: Callable[[list[str]], pa.Array],
     encode_whole: Callable[[list[str]], list[bytes]],
     special: list[str],
-    known: dict[str, bytes],
+    known: dict[str, bytes] | None,
 ) -> list[memoryview | bytes]:
     """Token ids of every text as little-endian bytes.
 
     ``encode_pieces`` gives one binary value per piece, ``encode_whole`` one per text. Texts
     that hold a ``special`` string go to the latter: the tokenizer looks for it first.
-    ``known`` keeps pieces from call to call; it is emptied when it has grown to ``KNOWN``.
+    ``known`` keeps pieces from call to call; it is emptied when it has grown to ``KNOWN``. Where
+    it is None every call encodes its own pieces.
     """
     texts = pc.fill_null(texts, "")
     whole = pc.match_substring_regex(texts, _UNSAFE)
@@ -74,7 +75,8 @@ def encode_texts(
         heads, head_codes = np.unique(codes[first], return_inverse=True)
         pieces = [" " + s for s in names.to_pylist()] + names.take(pa.array(heads)).to_pylist()
         codes[first] = len(names) + head_codes
-        ids = _piece_ids(pieces, encode_pieces, known).take(pa.array(codes))
+        found = encode_pieces(pieces) if known is None else _piece_ids(pieces, encode_pieces, known)
+        ids = found.take(pa.array(codes))
         ends = np.frombuffer(ids.buffers()[1], dtype=np.int32)[: len(ids) + 1]
         data = memoryview(ids.buffers()[2] or b"")
         for i, a, b in zip(rest, ends[bounds[:-1]], ends[bounds[1:]]):

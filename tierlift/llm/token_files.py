@@ -20,6 +20,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +47,6 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # A byte-level token has one character for each of its bytes.
@@ -63,31 +63,21 @@ class LibraryEncoder:
     def pieces(self, pieces: list[str]) -> pa.Array:
         # Each piece with a space in front may stand behind any other, so many make one text;
         # the others are encoded one by one.
-        out: list[np.ndarray] = []
-        ends: list[np.ndarray] = []
-        base = 0
         spaced = next((i for i, p in enumerate(pieces) if p[:1] != " "), len(pieces))
-        texts = ["".join(pieces[i:min(i + JOINED, spaced)]) for i in range(0, spaced, JOINED)]
-        for k, ids in enumerate(self._ids(texts)):
-            ids = np.array(ids, dtype="<u4")
-            group = pieces[k * JOINED:min((k + 1) * JOINED, spaced)]
-            wanted = np.cumsum([len(p.encode()) for p in group])
-            reached = np.cumsum(self.n_bytes[ids])
-            at = np.searchsorted(reached, wanted) + 1
-            if len(at) and not (reached[at - 1] == wanted).all():
-                raise RuntimeError("a token crosses the end of a piece")
-            out.append(ids)
-            ends.append(at + base)
-            base += len(ids)
-        for ids in self._ids(pieces[spaced:]):
-            out.append(np.array(ids, dtype="<u4"))
-            base += len(ids)
-            ends.append(np.array([base]))
-        offsets = np.concatenate([[0], *ends]).astype(np.int64) * 4
-        data = np.concatenate(out).tobytes() if out else b""
+        coded = self._ids(["".join(pieces[i:min(i + JOINED, spaced)])
+                           for i in range(0, spaced, JOINED)])
+        ids = np.array(list(chain.from_iterable(coded)), dtype="<u4")
+        wanted = np.cumsum(pc.binary_length(pa.array(pieces[:spaced], pa.string())).to_numpy())
+        reached = np.cumsum(self.n_bytes[ids])
+        at = np.searchsorted(reached, wanted) + 1
+        if spaced and not (reached[np.minimum(at, len(ids)) - 1] == wanted).all():
+            raise RuntimeError("a token crosses the end of a piece")
+        alone = self._ids(pieces[spaced:])
+        ends = len(ids) + np.cumsum([len(x) for x in alone], dtype=np.int64)
+        offsets = np.concatenate([[0], at, ends]).astype(np.int32) * 4
+        data = ids.tobytes() + np.array(list(chain.from_iterable(alone)), dtype="<u4").tobytes()
         return pa.BinaryArray.from_buffers(
-            pa.binary(), len(pieces), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()),
-                                       pa.py_buffer(data)])
+            pa.binary(), len(pieces), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)])
 
 
 _encoders: dict[str, LibraryEncoder] = {}
@@ -137,8 +127,9 @@ def write_token_files(
                 if not sinks:
                     sinks = {k: store.open_output_stream(f"{root}/{name}.{k}")
                              for k in ("tokens", "offsets", "docs")}
+                # Most different pieces of a slice are rare words, which no memo would hold.
                 coded = encode_texts(batch.column("text"), encoder.pieces, encoder.whole,
-                                     encoder.special, encoder.known)
+                                     encoder.special, None)
                 lengths = np.array([(len(c) + len(end)) // 4 for c in coded], dtype=np.int64)
                 ids = np.frombuffer(b"".join(x for c in coded for x in (c, end)), dtype="<u4")
                 starts = tokens + np.concatenate([[0], np.cumsum(lengths)[:-1]])

@@ -35,6 +35,9 @@ from tierlift.llm.pieces import encode_texts
 WORDS = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
+# Pairs of tokens a worker remembers between slices, about 100 bytes each.
+AGREED = 500_000
+
 
 def _byte_characters() -> dict[str, int]:
     """The characters that stand for bytes in a byte-level vocabulary.
@@ -149,10 +152,15 @@ class TrieEncoder:
             ids.reverse()
             out.append(ids)
             before = word
-        if len(agreed) > 4_000_000:  # a memo only
+        if len(agreed) > AGREED:
             agreed.clear()
         return out
 
+    def forget(self) -> None:
+        """Empty the memos: a worker goes on with other work after this."""
+        self.agreed.clear()
+        self.known.clear()
+
     def pieces(self, pieces: list[str]) -> pa.Array:
         split = [WORDS.findall(p) for p in pieces]
         distinct = sorted({w.encode() for ws in split for w in ws})
@@ -213,15 +221,19 @@ def encode(docs: DataFrame, tokenizer_path: str, text_column: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = trie_encoder(tokenizer_path)
-        for batch in text_slices(batches, work):
-            coded = encoder.encode(batch.column(work))
-            columns = {"row": batch.column("row"),
-                       ids: pa.array([bytes(c) for c in coded], type=pa.binary())}
-            if decoded:
-                columns[decoded] = pa.array(
-                    [encoder.decode(np.frombuffer(c, dtype="<u4")) for c in coded],
-                    type=pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_pydict(columns)
+        try:
+            for batch in text_slices(batches, work):
+                coded = encoder.encode(batch.column(work))
+                columns = {"row": batch.column("row"),
+                           ids: pa.array([bytes(c) for c in coded], type=pa.binary())}
+                if decoded:
+                    columns[decoded] = pa.array(
+                        [encoder.decode(np.frombuffer(c, dtype="<u4")) for c in coded],
+                        type=pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_pydict(columns)
+        finally:
+            encoder.forget()
+            pa.default_memory_pool().release_unused()
 
     out = base.mapInArrow(run, schema)
     return out.select(*[F.col(f"row.`{c}`").alias(c) for c in keep],

@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tests.llm.test_lines import plain_removal
-from tests.llm.test_simhash import plain_groups
+from tests.llm.test_shingles import plain_kept
 from tierlift.llm.queries import TOKENIZER
 
 
@@ -46,9 +46,8 @@ def test_lines_near_duplicates_and_tokens(stages):
     assert got == {i: (t, len(t)) for i, t in want.items()}
 
     rows = sorted((i, t) for i, (t, _) in got.items())
-    groups = plain_groups(rows, 5, 4)
     kept = sorted(r.doc_id for r in stages[3].select("doc_id").collect())
-    assert kept == sorted({g for *_, g in groups})
+    assert kept == plain_kept(rows)[0]
 
     mixed = Counter(r.doc_id for r in stages[4].select("doc_id").collect())
     assert set(mixed) <= set(kept)
@@ -60,6 +59,24 @@ def test_lines_near_duplicates_and_tokens(stages):
             text_of[r.doc_id], add_special_tokens=False).ids
 
 
+def test_odd_rows_and_columns(spark, small):
+    """Null ids and texts, repeated rows, and a column named like the outputs of operators."""
+    rows = [(None, "no id and some words " * 9, "en", "a", 3, 1.0), (7, None, None, None, None, None),
+            (8, "the same text of a few words " * 9, "en", "a", 9, 2.0),
+            (8, "the same text of a few words " * 9, "en", "a", 9, 2.0),
+            (9, "\n\n \n", "en", None, 4, None)]
+    start = spark.createDataFrame(
+        rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, kept double")
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        docs = stage(spark, start, small)
+        names = start.columns if "ids" not in docs.columns else docs.columns
+        assert docs.columns == names and docs.count() >= 0
+    lines = corpus_pipeline.first_lines(spark, start, small).collect()
+    assert len(lines) == 5 and sum(bool(r.text) for r in lines) == 3
+    kept = corpus_pipeline.one_of_each_group(spark, start, small).collect()
+    assert sorted(r.doc_id is None for r in kept) == [False, False, True]
+
+
 def test_empty_corpus(spark, small, stages):
     docs = stages[0].limit(0)
     for _, stage in corpus_pipeline.STAGES:

@@ -43,7 +43,7 @@ def test_both_encoders_give_the_library_ids(library):
     trie, whole = bpe.trie_encoder(TOKENIZER), token_files.library_encoder(TOKENIZER)
     assert [bytes(x) for x in trie.encode(pa.array(texts))] == want
     assert [bytes(x) for x in pieces.encode_texts(
-        pa.array(texts), whole.pieces, whole.whole, whole.special, {})] == want
+        pa.array(texts), whole.pieces, whole.whole, whole.special, None)] == want
     for text, ids in zip(texts, want):
         assert trie.decode(np.frombuffer(ids, "<u4")).decode() == library.decode(
             np.frombuffer(ids, "<u4").tolist(), skip_special_tokens=False)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -56,6 +57,15 @@ def drop_stored(*tables: DataFrame) -> None:
             path.getFileSystem(conf.newHadoopConf()).delete(path, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more.
+
+    It does so once the driver's JVM has collected the plans, which may else take half an hour.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def whole_text(column: str = "text"):
     """The text column; null counts as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -97,21 +97,38 @@ def test_planted_communities_are_recovered(spark):
     assert q > plain_modularity(edges, {v: v for v in names})
 
 
+def rounds_of(monkeypatch):
+    rounds, run = [], graph._trials
+    monkeypatch.setattr(graph, "_trials", lambda *a: rounds.append(1) or run(*a))
+    return rounds
+
+
 def test_a_hub_takes_its_leaves_in_few_rounds(spark, monkeypatch):
     table = spark.createDataFrame(
         [("hub", f"leaf{i:03}", 1) for i in range(300)], "source string, target string, weight long")
-    rounds, run = [], graph._granted_moves
-
-    def counted(*args):
-        rounds.append(1)
-        return run(*args)
-
-    monkeypatch.setattr(graph, "_granted_moves", counted)
+    rounds = rounds_of(monkeypatch)
     partition = graph.communities(table)
     assert partition.select("community").distinct().count() == 1
     assert len(rounds) <= 36
 
 
+def test_a_dense_graph_of_near_equal_weights_takes_few_rounds(spark, monkeypatch):
+    rng = random.Random(9)
+    edges = [(f"n{a:02}", f"n{b:02}", rng.randint(100, 119)) for b in range(64) for a in range(b)]
+    table = spark.createDataFrame(edges, "source string, target string, weight long")
+    rounds = rounds_of(monkeypatch)
+    found = {r["node"]: r["community"] for r in graph.communities(table).collect()}
+    assert len(rounds) <= 36
+    q = plain_modularity(edges, found)
+    assert q >= max(0.0, plain_modularity(edges, {v: v for v in found}))
+    # No single move gains.
+    assert graph.gaining_moves(table, spark.createDataFrame(
+        list(found.items()), "node string, community bigint")).isEmpty()
+    for v in found:
+        for c in set(found.values()):
+            assert plain_modularity(edges, found | {v: c}) <= q + 1e-8
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_no_round_lowers_modularity(spark, monkeypatch, seed):
     rng = random.Random(seed)
@@ -119,18 +136,18 @@ def test_no_round_lowers_modularity(spark, monkeypatch, seed):
             if rng.random() < (0.6 if a % 3 == b % 3 else 0.1)]
     table = spark.createDataFrame(
         [(min(a, b), max(a, b), w) for a, b, w in rows], "source string, target string, weight long")
-    seen, run = [], graph._granted_moves
+    seen, run = [], graph._trials
 
     def watched(state, *args):
         if len(seen) < 8:  # the first level, where nodes are the graph's own
             seen.append(graph.modularity(table, state.select("node", "community")).first()[0])
         return run(state, *args)
 
-    monkeypatch.setattr(graph, "_granted_moves", watched)
+    monkeypatch.setattr(graph, "_trials", watched)
     level, stable = [], graph._move_until_stable
 
-    def first_level(arcs, two_m):
-        out = stable(arcs, two_m)
+    def first_level(*args):
+        out = stable(*args)
         level.append(len(seen))
         if len(level) == 1:
             seen.extend([None] * 8)

@@ -186,28 +186,34 @@ def modularity(edges: DataFrame, partition: DataFrame) -> DataFrame:
 def communities(edges: DataFrame) -> DataFrame:
     """``(node, community)`` by modularity moves, deterministic.
 
-    Per round every community is a giver or a taker, by a hash of its name and the round. Nodes
-    of givers name their best taker, and moves are granted in order of their gain, each counted
-    against the summed degree of all that claim the same giver or taker before it. That bound is
-    on the safe side, so Q never falls, and a hub takes most of its leaves in one round. A level
-    ends when no node has a move to any community; then communities become the nodes of a
-    smaller graph.
+    Per round every node names its best community. Not all of these moves go together, so several
+    sets of them are tried at once: all, those from one half of the communities to the other, and
+    shares of them, each chosen by hashes of names and the round. The set with the largest
+    modularity is kept, so Q never falls; if none raises it, the single best move is made. A
+    level ends when no move to any community gains; then communities become the nodes of a
+    smaller graph. At the end single nodes move again, until neither they nor communities gain.
     """
-    arcs = cut_lineage(both_directions(edges).withColumn("w", F.col("w").cast("double")))
-    two_m = arcs.agg(F.sum("w").alias("t")).first()["t"] or 0.0
+    first = cut_lineage(both_directions(edges).withColumn("w", F.col("w").cast("double")))
+    two_m = first.agg(F.sum("w").alias("t")).first()["t"] or 0.0
     member = cut_lineage(nodes_of(edges).select("node", F.col("node").alias("level")))
     while True:
-        assigned, moved = _move_until_stable(arcs, two_m)
+        start = member.withColumnRenamed("level", "community")
+        assigned, moved = _move_until_stable(first, two_m, start)
         if not moved:
             break
-        renamed = assigned.select(F.col("node").alias("level"), "community")
-        member = cut_lineage(
-            member.join(renamed, "level").select("node", F.col("community").alias("level")))
-        cu = assigned.select(F.col("node").alias("u"), F.col("community").alias("cu"))
-        cv = assigned.select(F.col("node").alias("v"), F.col("community").alias("cv"))
-        arcs = cut_lineage(
-            arcs.join(cu, "u").join(cv, "v").groupBy("cu", "cv").agg(F.sum("w").alias("w"))
-            .select(F.col("cu").alias("u"), F.col("cv").alias("v"), "w"))
+        member = cut_lineage(assigned.withColumnRenamed("community", "level"))
+        while moved:
+            cu = member.select(F.col("node").alias("u"), F.col("level").alias("cu"))
+            cv = member.select(F.col("node").alias("v"), F.col("level").alias("cv"))
+            arcs = cut_lineage(
+                first.join(cu, "u").join(cv, "v").groupBy("cu", "cv").agg(F.sum("w").alias("w"))
+                .select(F.col("cu").alias("u"), F.col("cv").alias("v"), "w"))
+            assigned, moved = _move_until_stable(
+                arcs, two_m, member.select(F.col("level").alias("node"),
+                                           F.col("level").alias("community")).distinct())
+            renamed = assigned.select(F.col("node").alias("level"), "community")
+            member = cut_lineage(
+                member.join(renamed, "level").select("node", F.col("community").alias("level")))
     # Dense ids by size; one row per community enters the window.
     sizes = member.groupBy("level").agg(
         F.count(F.lit(1)).alias("n"), F.min("node").alias("first"))
@@ -216,24 +222,45 @@ def communities(edges: DataFrame) -> DataFrame:
     return member.join(ids, "level").select("node", "community")
 
 
-def _move_until_stable(arcs: DataFrame, two_m: float) -> tuple[DataFrame, bool]:
-    state = cut_lineage(
-        arcs.groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("k"))
-        .select("node", "k", F.col("node").alias("community"), F.lit(False).alias("hit")))
-    outward = broadcast_if_small(cut_lineage(arcs.where(F.col("u") != F.col("v"))))
+def gaining_moves(edges: DataFrame, partition: DataFrame) -> DataFrame:
+    """``(node, c, gain)``: moves of single nodes that would raise the modularity."""
+    arcs = cut_lineage(both_directions(edges).withColumn("w", F.col("w").cast("double")))
+    two_m = arcs.agg(F.sum("w").alias("t")).first()["t"] or 0.0
+    weights = arcs.groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("k"))
+    return _moves(weights.join(partition, "node"), arcs.where(F.col("u") != F.col("v")), two_m
+                  ).withColumnRenamed("u", "node")
+
+
+# Of the moves, those whose hash in 64 is below each number are one trial.
+SHARES = (64, 32, 16, 4, 1)
+
+
+def _move_until_stable(arcs: DataFrame, two_m: float, start: DataFrame) -> tuple[DataFrame, bool]:
+    """``(node, community)`` without a gaining move, from the one given, and whether any was made."""
+    weights = arcs.groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("k"))
+    state = cut_lineage(weights.join(start, "node").select("node", "k", "community"))
+    outward = cut_lineage(arcs.where(F.col("u") != F.col("v")))
+    loops = arcs.where(F.col("u") == F.col("v")).agg(F.sum("w")).first()[0] or 0.0
     any_move, turn = False, 0
     while True:
-        state = cut_lineage(_granted_moves(state, outward, two_m, turn))
+        trials = cut_lineage(_trials(state, _moves(state, outward, two_m), turn))
+        before, *scores = _scores(trials, outward, loops, two_m)
+        best = max(range(len(scores)), key=scores.__getitem__)
         turn += 1
-        if not state.where("hit").isEmpty():
-            any_move = True
-        elif _moves(state, outward, two_m, F.lit(True)).isEmpty():
-            break
-    return state.select("node", "community"), any_move
-
-
-def _moves(state: DataFrame, outward: DataFrame, two_m: float, allowed: Column) -> DataFrame:
-    """Best move of each node among those ``allowed`` (by ``own`` and ``c``) that gain."""
+        if scores[best] > before + TOLERANCE:
+            state = trials.select("node", "k", F.col("trial")[best + 1].alias("community"))
+        else:
+            first = trials.where("gain is not null").orderBy(F.col("gain").desc(), "node").first()
+            if first is None:
+                return state.select("node", "community"), any_move
+            state = cut_lineage(state.withColumn("community", F.when(
+                F.col("node") == first["node"], F.lit(first["trial"][1])).otherwise(
+                F.col("community"))))
+        any_move = True
+
+
+def _moves(state: DataFrame, outward: DataFrame, two_m: float) -> DataFrame:
+    """Best move ``(u, c, gain)`` of each node that gains by one."""
     totals = state.groupBy("community").agg(F.sum("k").alias("tot"))
     sized = state.join(totals, "community")
     here = sized.select(F.col("node").alias("u"), "k", F.col("community").alias("own"),
@@ -247,34 +274,44 @@ def _moves(state: DataFrame, outward: DataFrame, two_m: float, allowed: Column)
     away = F.col("wc") - F.col("k") * F.col("tot") / two_m
     best = (
         pull.groupBy("u", "own", "k", "tot_own")
-        .agg(F.min(F.when(~own & allowed, F.struct((-away).alias("loss"), F.col("c").alias("c"))))
+        .agg(F.min(F.when(~own, F.struct((-away).alias("loss"), F.col("c").alias("c"))))
              .alias("best"),
              F.coalesce(F.max(F.when(own, F.col("wc"))), F.lit(0.0)).alias("w_own"))
         .where(F.col("best").isNotNull()))
     stay = F.col("w_own") - F.col("k") * (F.col("tot_own") - F.col("k")) / two_m
-    return best.select(
-        "u", "own", "k", F.col("best.c").alias("c"), (-F.col("best.loss") - stay).alias("gain")
-    ).where(F.col("gain") > TOLERANCE * two_m)
-
-
-def _granted_moves(state: DataFrame, outward: DataFrame, two_m: float, turn: int) -> DataFrame:
-    def takes(community: str) -> Column:
-        return F.pmod(F.xxhash64(community, F.lit(turn)), F.lit(2)) == 0
-
-    moves = _moves(state, outward, two_m, ~takes("own") & takes("c"))
-    # One row per moving node, and at most as many as the node limit.
-    first = [F.col("gain").desc(), "u"]
-    before = F.lit(0.0)
-    for side in ("own", "c"):
-        earlier = Window.partitionBy(side).orderBy(*first).rowsBetween(
-            Window.unboundedPreceding, -1)
-        before = before + F.coalesce(F.sum("k").over(earlier), F.lit(0.0))
-    granted = moves.withColumn("before", before).where(
-        F.col("gain") - F.col("k") * F.col("before") / two_m > TOLERANCE * two_m
-    ).select(F.col("u").alias("node"), F.col("c").alias("to"))
-    return state.join(granted, "node", "left").select(
-        "node", "k", F.coalesce("to", "community").alias("community"),
-        F.col("to").isNotNull().alias("hit"))
+    return best.select("u", F.col("best.c").alias("c"), (-F.col("best.loss") - stay).alias("gain")
+                       ).where(F.col("gain") > TOLERANCE * two_m)
+
+
+def _trials(state: DataFrame, moves: DataFrame, turn: int) -> DataFrame:
+    """``(node, k, trial, gain)``: the community of each node now, and after each trial."""
+    stay, to = F.col("community"), F.coalesce("c", "community")
+
+    def half(community: str) -> Column:
+        return F.pmod(F.xxhash64(community, F.lit(turn)), F.lit(2))
+
+    place = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(64))
+    sets = [F.when(place < share, to).otherwise(stay) for share in SHARES]
+    across = F.when((half("community") == 0) & (half("c") == 1), to).otherwise(stay)
+    return state.join(moves.withColumnRenamed("u", "node"), "node", "left").select(
+        "node", "k", F.array(stay, *sets, across).alias("trial"), "gain")
+
+
+def _scores(trials: DataFrame, outward: DataFrame, loops: float, two_m: float) -> list[float]:
+    """The modularity now and after each trial: two small rows come to the driver."""
+    n = len(SHARES) + 2
+    ends = outward.join(trials.select(F.col("node").alias("u"), F.col("trial").alias("tu")), "u").join(
+        trials.select(F.col("node").alias("v"), F.col("trial").alias("tv")), "v")
+    inside = ends.agg(*[F.sum(F.when(F.col("tu")[i] == F.col("tv")[i], F.col("w"))).alias(f"i{i}")
+                        for i in range(n)])
+    squares = (
+        trials.select("k", F.posexplode("trial").alias("i", "c")).groupBy("i", "c")
+        .agg(F.sum("k").alias("tot"))
+        .agg(*[F.sum(F.when(F.col("i") == i, F.col("tot") * F.col("tot"))).alias(f"s{i}")
+               for i in range(n)]))
+    row = inside.join(squares).first()
+    return [((row[f"i{i}"] or 0.0) + loops) / two_m - (row[f"s{i}"] or 0.0) / two_m ** 2
+            for i in range(n)] if two_m else [0.0] * n
 
 
 def bridge_score(betweenness_: Column, degree_centrality: Column) -> Column:

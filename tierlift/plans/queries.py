@@ -414,6 +414,16 @@ def _nodes(spark: SparkSession, sf: str) -> DataFrame:
                                  _partition(spark, sf)), cut_lineage)
 
 
+@query
+def graph_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of any partition: every node once, and no single move that gains."""
+    edges, partition = b.edges(spark, sf), cut_lineage(_partition(spark, sf))
+    placed = partition.agg(F.count(F.lit(1)).alias("placed"),
+                           F.count_distinct("node").alias("different"))
+    gaining = graph.gaining_moves(edges, partition).agg(F.count(F.lit(1)).alias("gaining_moves"))
+    return placed.join(gaining)
+
+
 @query
 def graph_communities(spark: SparkSession, sf: str) -> DataFrame:
     return _partition(spark, sf)

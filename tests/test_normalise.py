@@ -126,7 +126,7 @@ def test_a_page_too_large_is_an_error(spark, tmp_path, monkeypatch):
         raw_json.bad_files(raw_json.read_pages(spark, str(tmp_path))).collect()
 
 
-def test_stream_resumes_and_equals_the_batch(spark, tmp_path):
+def test_stream_resumes_and_equals_the_batch(spark, tmp_path, monkeypatch):
     from tierlift.streaming import incremental
     pages, state = tmp_path / "pages", tmp_path / "state"
     pages.mkdir()
@@ -138,5 +138,24 @@ def test_stream_resumes_and_equals_the_batch(spark, tmp_path):
     now = {r["entity_id"]: (r["metric"], r["tagline"])
            for r in incremental.current_records(spark, str(state)).collect()}
     assert now == {"1": ("9", None), "2": (None, None)}
-    incremental.compact(spark, str(state), str(tmp_path / "compact"))
-    assert spark.read.parquet(str(tmp_path / "compact")).count() == 2
+    before = sorted(map(str, incremental.current_records(spark, str(state)).collect()))
+    assert len(incremental.State(spark, str(state)).live()) == 2
+    assert not list((state / "staged").glob("*"))
+
+    # A compaction that stops before the list is swapped changes nothing, and is cleared later.
+    publish = incremental.State.publish
+    monkeypatch.setattr(incremental.State, "publish", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        incremental.compact(spark, str(state))
+    monkeypatch.setattr(incremental.State, "publish", publish)
+    assert len(list((state / "compacted").iterdir())) == 1
+    assert sorted(map(str, incremental.current_records(spark, str(state)).collect())) == before
+
+    incremental.compact(spark, str(state))
+    live = incremental.State(spark, str(state)).live()
+    assert len(live) == 1 and live[0].startswith("compacted/")
+    assert not list((state / "best").iterdir()) and len(list((state / "compacted").iterdir())) == 1
+    assert sorted(map(str, incremental.current_records(spark, str(state)).collect())) == before
+    # The load goes on where it was.
+    incremental.ingest_available(spark, str(pages), str(state))
+    assert sorted(map(str, incremental.current_records(spark, str(state)).collect())) == before

@@ -71,11 +71,6 @@ def truthy_text(c: Column) -> Column:
     return F.coalesce(F.length(c) > 0, F.lit(False))
 
 
-def drop_fields(df, names: list[str]):
-    """Drop a fixed list of columns; names that are absent are ignored."""
-    return df.drop(*names)
-
-
 def drop_keys(m: Column, names: list[str]) -> Column:
     """Drop a fixed list of keys from a map; names that are absent are ignored."""
     banned = F.array(*[F.lit(n) for n in names])

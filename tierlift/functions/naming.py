@@ -27,11 +27,21 @@ def weighted(word: Column, weight: Column) -> Column:
     return F.concat(word, F.lit(" ("), F.round(weight, 2).cast("string"), F.lit(")"))
 
 
+def title_case(text: Column) -> Column:
+    """Every run of letters capitalised, whatever stands before it (``3d-print`` is ``3D-Print``)."""
+    low = F.lower(text)
+    runs = F.regexp_extract_all(low, F.lit(r"\p{L}+"), F.lit(0))
+    gaps = F.split(low, r"\p{L}+", -1)
+    return F.array_join(F.zip_with(gaps, runs, lambda gap, run: F.concat(
+        gap, F.coalesce(F.concat(F.upper(F.substring(run, 1, 1)), F.substring(
+            run, F.lit(2), F.length(run))), F.lit("")))), "")
+
+
 def topic_label(number: Column, words: Column) -> Column:
-    """``Topic k: A / B / C`` with every word capitalised."""
+    """``Topic k: A / B / C`` with every word in title case."""
     return F.concat(
         F.lit("Topic "), number.cast("string"), F.lit(": "),
-        F.array_join(F.transform(words, lambda w: F.initcap(w)), " / "),
+        F.array_join(F.transform(words, title_case), " / "),
     )
 
 

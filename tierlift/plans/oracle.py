@@ -768,7 +768,20 @@ SELECT file AS page, pos, entity_id, metric, len(words) AS n_items,
 FROM records""",
     "bad_files": """
 SELECT 2 * count(*) AS total_files, count(*) AS malformed_files, count(*) AS quarantined
-FROM documents""",
+FROM (SELECT DISTINCT doc_id // 100 AS page FROM documents)""",
+    "shown_names": """
+WITH t AS (
+  SELECT *, lower(p_name || '''s 3d ' || p_brand) AS a,
+         string_split(p_name || ' ' || lower(replace(p_brand, '#', '-')), ' ') AS words FROM part)
+SELECT p_partkey, array_to_string(list_transform(range(1, length(a) + 1), lambda i:
+         CASE WHEN i = 1 OR NOT regexp_matches(substring(a, i - 1, 1), '[[:alpha:]]')
+              THEN upper(substring(a, i, 1)) ELSE substring(a, i, 1) END), '') AS title,
+       'Topic ' || p_size || ': ' || array_to_string(list_transform(words, lambda w:
+         array_to_string(list_transform(range(1, length(w) + 1), lambda i:
+           CASE WHEN i = 1 OR NOT regexp_matches(substring(w, i - 1, 1), '[[:alpha:]]')
+                THEN upper(substring(w, i, 1)) ELSE substring(w, i, 1) END), '')), ' / ') AS label,
+       p_name || ' (' || (floor(p_retailprice) / 4)::varchar || ')' AS weighted
+FROM t""",
     "incremental_merge": f"""WITH {RECORDS}
 SELECT entity_id, len(words) AS n_items, metric FROM records
 QUALIFY row_number() OVER (

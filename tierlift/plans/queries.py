@@ -661,15 +661,24 @@ def summary_document(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- files ----------------------------------------------------------------------
 
-def _write_pages(spark: SparkSession, sf: str) -> str:
-    """Documents as JSON page files of up to 100 records, one valid document per file."""
+def _write_pages(spark: SparkSession, sf: str, cut: bool = False) -> str:
+    """Documents as JSON page files of up to 100 records, one valid document per file.
+
+    With ``cut`` each page is there a second time, without its last character.
+    """
     path = scratch_path(spark, "pages")
     pages = b.document_json(spark, sf).groupBy("file").agg(
         F.array_sort(F.collect_list(F.struct("pos", "json"))).alias("rows"))
     text = F.concat(F.lit("["), F.array_join(
         F.transform("rows", lambda r: r["json"]), ",\n"), F.lit("]"))
-    pages.select("file", text.alias("value")).repartition("file").write.partitionBy(
-        "file").text(path)
+    named = pages.select("file", text.alias("value"))
+    if cut:
+        named = named.select(F.explode(F.array(
+            F.struct("file", "value"),
+            F.struct(F.concat(F.lit("cut-"), "file").alias("file"),
+                     F.expr("substr(value, 1, length(value) - 1)").alias("value")))).alias("x")
+        ).select("x.*")
+    named.repartition("file").write.partitionBy("file").text(path)
     return path
 
 
@@ -686,19 +695,27 @@ def raw_json_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def bad_files(spark: SparkSession, sf: str) -> DataFrame:
-    """Every page once whole and once cut short: the cut ones must be reported."""
-    path = scratch_path(spark, "mixed")
-    docs = b.document_json(spark, sf)
-    whole = docs.select(F.concat(F.lit("ok-"), F.col("doc_id").cast("string")).alias("name"),
-                        F.col("json").alias("value"))
-    cut = docs.select(F.concat(F.lit("cut-"), F.col("doc_id").cast("string")).alias("name"),
-                      F.expr("substr(json, 1, length(json) - 1)").alias("value"))
-    pages = whole.unionByName(cut).select(F.col("name").alias("file"), F.try_parse_json("value").alias("doc"))
-    cut_lineage(raw_json.bad_files(pages)).write.mode("overwrite").parquet(path)
-    bad = tables.read_table(spark, path, ["file"]).agg(F.count(F.lit(1))).scalar()
+    """Every page file once whole and once cut short: the cut ones must be reported."""
+    path, listed = _write_pages(spark, sf, cut=True), scratch_path(spark, "quarantine")
+    pages = cut_lineage(raw_json.read_pages(spark, path).select(
+        "file", F.when(F.col("doc").isNotNull(), F.parse_json(F.lit("1"))).alias("doc")))
+    raw_json.bad_files(pages).write.parquet(listed)
+    bad = tables.read_table(spark, listed, ["file"]).agg(
+        F.count_if(F.col("file").contains("cut-"))).scalar()
     return raw_json.file_counts(pages).withColumn("quarantined", bad)
 
 
+@query
+def shown_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Title case, weighted names and topic labels of the parts."""
+    words = F.split(F.concat_ws(" ", "p_name", F.lower(F.translate("p_brand", "#", "-"))), " ")
+    return b.table(spark, sf, "part", "p_partkey", "p_name", "p_brand", "p_size",
+                   "p_retailprice").select(
+        "p_partkey", naming.title_case(F.concat_ws("'s 3d ", "p_name", "p_brand")).alias("title"),
+        naming.topic_label(F.col("p_size"), words).alias("label"),
+        naming.weighted(F.col("p_name"), F.floor("p_retailprice") / 4).alias("weighted"))
+
+
 @query
 def incremental_merge(spark: SparkSession, sf: str) -> DataFrame:
     state = incremental.ingest_available(

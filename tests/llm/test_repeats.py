@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from tierlift.llm import repeats
@@ -82,6 +83,19 @@ def test_odd_ids_and_columns(spark):
     assert repeats.remove_repeats(docs.limit(0)).collect() == []
 
 
+def test_ids_in_steps_are_dealt_over_the_groups(spark):
+    keys = np.arange(-1000, 100_000) * 256
+    groups = np.bincount(repeats._by_key(keys, 256), minlength=256)
+    assert groups.min() > 0.5 * groups.mean() and groups.max() < 2 * groups.mean()
+    some = keys[::997]
+    df = spark.createDataFrame([(int(k),) for k in some], "key bigint")
+    got = [r[1] for r in df.select("key", repeats._group_column(256)).collect()]
+    assert got == repeats._by_key(some, 256).tolist()
+    rows = [(i * 256, t) for i, t in enumerate(texts(5))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert result(repeats.remove_repeats(docs)) == wanted(rows)
+
+
 def test_query_on_the_sample(spark, small):
     rows = sorted(map(tuple, spark.read.parquet(f"{small}/documents.parquet").select(
         "doc_id", "text").collect()))

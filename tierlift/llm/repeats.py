@@ -1,17 +1,15 @@
 """Remove repeated passages of at least ``window`` bytes, keeping the first occurrence.
 
 A byte goes if a string of ``window`` bytes that covers it also starts earlier in the corpus:
-in a document with a smaller id, or earlier in the same one. In terms of suffixes: the longest
-previous factor at the string's start, the longest match with anything that starts earlier,
-has at least ``window`` bytes. It is found by looking, in suffix order, at the previous and
-the next suffix with a smaller position. Suffixes that agree in ``window`` bytes form one run
-of that order, and only runs matter here, so a run is ordered by position, and every member
-that has a smaller position before it in its run is removed.
-
-To let runs form in many tasks at once, suffixes meet where their text has an anchor. Anchors
+in a document with a smaller id, or earlier in the same one. The longest previous factor at such
+a start has at least ``window`` bytes, but no factor lengths are computed here and no suffixes
+are put in order: only whether a window occurred before decides, so equal windows are grouped by
+hash and compared, and in a group all but the one with the smallest position are repeats.
+
+To let groups form in many tasks at once, windows meet where their text has an anchor. Anchors
 are the places whose next ``ANCHOR`` bytes have the smallest hash among all that fit into some
 window around them. A window contains at least one, and equal windows have theirs at the same
-offset, so it is enough to compare suffixes around equal anchors.
+offset, so it is enough to compare windows around equal anchors.
 
 1. Tasks find the anchors of their slice and a hash of each anchor's context, the bytes of all
    windows through it. Of anchors with equal contexts in a slice only the first is passed on;
@@ -20,9 +18,9 @@ offset, so it is enough to compare suffixes around equal anchors.
 2. Per hash range: among anchors with equal contexts all but the first are repeats. Anchors
    whose bytes also occur in another context are the borders of repeats; their first
    occurrences go on. They are a small share.
-3. The contexts of borders are read from the text, and runs of windows are formed by anchor
-   and offset, as said above, with a comparison of the bytes themselves (the order among the
-   runs is that of a hash: it decides nothing). If an anchor has more than ``limit`` contexts, its windows meet by their own hash instead, of which again only the
+3. The contexts of borders are read from the text, and windows are grouped by anchor and
+   offset, as said above, with a comparison of the bytes themselves (in the order of a hash,
+   which decides nothing). If an anchor has more than ``limit`` contexts, its windows meet by their own hash instead, of which again only the
    first per slice is passed on, so no task holds such an anchor.
 4. The repeats, packed by document, are joined with the text.
 
@@ -152,13 +150,19 @@ def _unpack(table: pa.Table, kind: int, dtype: np.dtype) -> np.ndarray:
     return np.frombuffer(b"".join(data), dtype=dtype)
 
 
+# Keys are mixed before they are dealt, as ids may come in steps; a product of two such numbers
+# stays below 2**63 on both sides.
+_PRIME, _FACTOR = (1 << 31) - 1, 48_271
+
+
 def _by_key(keys: np.ndarray, ranges: int) -> np.ndarray:
     """The group of a document; the same as ``_group_column``."""
-    return (keys % ranges).astype(np.int32)
+    return (keys % _PRIME * _FACTOR % _PRIME % ranges).astype(np.int32)
 
 
 def _group_column(ranges: int):
-    return F.pmod("key", F.lit(ranges)).cast("int")
+    mixed = F.pmod(F.pmod("key", F.lit(_PRIME)) * _FACTOR, F.lit(_PRIME))
+    return F.pmod(mixed, F.lit(ranges)).cast("int")
 
 
 def _by_hash(h: np.ndarray, ranges: int) -> np.ndarray:

@@ -4,7 +4,7 @@ import hashlib
 import math
 import random
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 
 import pytest
 
@@ -17,7 +17,7 @@ BASE = {
     "card": r"[0-9]([\x20-]?[0-9])+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-WORD = re.compile(r"(?<![^\W_])[^\W\d_][^\W_]{3,}")
+WORD = re.compile(r"(?<![^\W_])[^\W\d_][^\W_]*")
 
 
 def luhn(digits):
@@ -46,37 +46,31 @@ def entity(kind, value):
 
 
 def plain_terms(texts, alpha, support):
-    """Per text the spans of terms that disclose an entity near them."""
-    uses, shown, together = Counter(), Counter(), Counter()
-    met, near = defaultdict(set), {}
-    for text in map(lambda t: t or "", texts):
-        uses.update(m[0].lower() for m in WORD.finditer(text))
-        spans = sorted((s, e, entity(k, v)) for k, s, e, v in plain_base(text))
-        places = []
-        for i, (s, e, name) in enumerate(spans):
-            shown[name] += 1
-            low = max(s - pii.REACH, spans[i - 1][1] if i else 0)
-            high = min(e + pii.REACH, spans[i + 1][0] if i + 1 < len(spans) else len(text))
-            for a, b, x, y in ((low, s, low > 0, s < len(text)), (e, high, e > 0, high < len(text))):
-                for m in WORD.finditer(text):
-                    # Inside, and not at an edge that may have cut it.
-                    if (m.start() >= a + x and m.end() <= b - y) or (
-                            a <= m.start() and m.end() <= b
-                            and not (x and m.start() == a) and not (y and m.end() == b)):
-                        places.append((name, m[0].lower(), m.start(), m.end()))
-        for name, term, *_ in places:
-            together[name, term] += 1
-            met[name, term].add(text)
-        near[text] = places
-    total = sum(uses.values())
-    bad = {}
-    for pair, texts_met in met.items():
-        given = min(1, together[pair] / uses[pair[1]])
-        rare = -math.log(min(1, shown[pair[0]] / total))
-        if len(texts_met) >= support and rare > 0 and 1 + math.log(given) / rare >= alpha:
-            bad[pair] = 1 + math.log(given) / rare
-    return {t: sorted({(s, e) for name, term, s, e in p if (name, term) in bad})
-            for t, p in near.items()}
+    """Per text the spans of terms that disclose an entity of the text, by whole documents."""
+    uses, shown, together, held = Counter(), Counter(), Counter(), {}
+    texts_of, met = Counter(), Counter()
+    for text, n in Counter(t or "" for t in texts).items():
+        uses.update(dict.fromkeys((m[0].lower() for m in WORD.finditer(text)), n))
+        base, rest = plain_base(text), list(text)
+        for _, s, e, _ in base:
+            rest[s:e] = " " * (e - s)
+        places = [(m[0].lower(), *m.span()) for m in WORD.finditer("".join(rest))]
+        names = {entity(k, v) for k, _, _, v in base}
+        held[text] = names, places
+        for name in names:
+            shown[name] += n
+            texts_of[name] += 1
+            for term in {p[0] for p in places}:
+                together[name, term] += n
+                met[name, term] += 1
+    bad = set()
+    for (name, term), k in together.items():
+        rare = -math.log(shown[name] / len(texts))
+        if min(texts_of[name], met[name, term]) >= support and rare > 0 and (
+                1 + math.log(min(1, k / uses[term])) / rare >= alpha):
+            bad.add((name, term))
+    return {t: sorted((s, e) for term, s, e in places if any((n, term) in bad for n in names))
+            for t, (names, places) in held.items()}
 
 
 def some_texts():
@@ -172,5 +166,5 @@ def test_terms_of_whole_documents(spark, tmp_path):
         want = [m.span() for m in re.finditer(r"\b(quixote|é|xu)\b", text.lower())
                 if "9999" in text]
         assert [(int(s), int(e)) for _, s, e in spans] == want
-    out = pii.sanitise(spark.createDataFrame([(t,) for t in texts], "text string"), reach=None)
+    out = pii.sanitise(spark.createDataFrame([(t,) for t in texts], "text string"))
     assert not any("uixote" in r.sanitised or "Xu" in r.sanitised for r in out.collect())

@@ -8,13 +8,11 @@ IC(entity) = -log p(entity). A term discloses an entity if PMI >= alpha * IC and
 at least ``support`` different texts. Where it discloses everything (PMI = IC: the term occurs
 nowhere else) it is removed, else generalised to ``[TERM]``.
 
-With ``reach=None`` probabilities are shares of documents: term and entity meet in every document
-that holds both, at any distance and beside any other identifier, words have any length, and a
-disclosing term goes wherever it occurs in a document that holds its entity. Words inside
-identifiers are not terms. With a number, only terms within so many code points of the entity
-and before the next identifier meet it, words have four letters or more, probabilities are shares
-of words, and only the occurrences so near are touched. Either way a document without personal
-data never changes.
+Probabilities are shares of documents: term and entity meet in every document that holds both,
+at any distance and beside any other identifier, words have any length, and a disclosing term
+goes wherever it occurs in a document that holds its entity. Words inside identifiers are not
+terms. A document without personal data never changes. An entity found in fewer than ``support``
+texts has no disclosing terms, however telling its surroundings are.
 
 All of it is DataFrame functions. Texts are known by their MD5; equal texts are looked at once
 and count once.
@@ -44,9 +42,7 @@ PATTERNS = {
 # A text without this character has no match.
 HINTS = {"email": "@", "phone": "+"}
 PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-WORD = r"(?<![\p{L}\p{N}])\p{L}[\p{L}\p{N}]{3,}"
 ANY_WORD = r"(?<![\p{L}\p{N}])\p{L}[\p{L}\p{N}]*+"
-REACH = 64
 SUPPORT = 3
 ALPHA = 0.98
 SPAN = "array<struct<start: int, end: int, value: string>>"
@@ -113,35 +109,6 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.transform(found, named)
 
 
-def _near_terms(text: Column, spans: Column, reach: int) -> Column:
-    """Terms wholly within reach of each span: ``(entity, term, start, end)``.
-
-    ``spans`` ascend. What lies beyond the spans on either side is not looked at.
-    """
-    size = F.length(text)
-
-    def words(low: Column, high: Column, entity: Column) -> Column:
-        window = F.substring(text, low + 1, F.greatest(high - low, F.lit(0)))
-        # A word that the window's edge may have cut is left out.
-        front = F.when(low > 0, F.regexp_replace(window, r"^[\p{L}\p{N}]+", "")).otherwise(window)
-        shift = low + F.length(window) - F.length(front)
-        body = F.when(high < size, F.regexp_replace(front, r"[\p{L}\p{N}]+$", "")).otherwise(front)
-        return F.transform(matches(body, WORD), lambda x: F.struct(
-            entity.alias("entity"), F.lower(x.getField("value")).alias("term"),
-            (x.getField("start") + shift).alias("start"),
-            (x.getField("end") + shift).alias("end")))
-
-    def both(x: Column, i: Column) -> Column:
-        before = F.coalesce(F.get(spans, i - 1).getField("end"), F.lit(0))
-        after = F.coalesce(F.get(spans, i + 1).getField("start"), size)
-        start, end, entity = (x.getField(c) for c in ("start", "end", "value"))
-        left = words(F.greatest(start - reach, before), start, entity)
-        right = words(end, F.least(end + reach, after), entity)
-        return F.concat(left, right)
-
-    return F.flatten(F.transform(spans, both))
-
-
 def _blanked(text: Column, places: Column) -> Column:
     """The text with blanks in place of ascending spans, so that offsets stay."""
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
@@ -158,11 +125,10 @@ def _blanked(text: Column, places: Column) -> Column:
         F.substring(text, a.getField("at") + 1, F.length(text))))
 
 
-def findings(docs: DataFrame, text_column: str = "text",
-             reach: int | None = REACH) -> DataFrame:
-    """Per different text: ``(text_id, base, near)``; ``base`` by kind, then start.
+def findings(docs: DataFrame, text_column: str = "text") -> DataFrame:
+    """Per different text: ``(text_id, base, rest)``; ``base`` by kind, then start.
 
-    Without a reach there is ``rest`` instead of ``near``: the text without its identifiers.
+    ``rest`` is the text without its identifiers, null if there are none.
     """
     text = F.col("text")
     rows = docs.select(whole_text(f"`{text_column}`").alias("text"))
@@ -176,63 +142,17 @@ def findings(docs: DataFrame, text_column: str = "text",
     spans = kinds.select("text", F.concat(*[of_kind(k) for k in KINDS]).alias("base"))
     ordered = spans.select("text", "base", F.array_sort(F.transform("base", lambda x: F.struct(
         *[x.getField(c).alias(c) for c in ("start", "end", "value")]))).alias("places"))
-    more = (_blanked(text, F.col("places")) if reach is None else
-            _near_terms(text, F.col("places"), reach))
-    more = F.when(F.size("places") > 0, more).alias("rest" if reach is None else "near")
-    return stored(ordered.select(F.md5("text").alias("text_id"), "base", more)
+    rest = F.when(F.size("places") > 0, _blanked(text, F.col("places"))).alias("rest")
+    return stored(ordered.select(F.md5("text").alias("text_id"), "base", rest)
                   .dropDuplicates(["text_id"]))
 
 
-def term_counts(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """``(term, uses)`` over all documents."""
-    words = F.regexp_extract_all(whole_text(f"`{text_column}`"), F.lit(WORD), F.lit(0))
-    return docs.select(F.explode(words).alias("word")).groupBy(F.lower("word").alias("term")).agg(
-        F.count(F.lit(1)).alias("uses"))
-
-
-def disclosing_terms(docs: DataFrame, found: DataFrame, alpha: float, support: int,
-                     text_column: str = "text") -> DataFrame:
-    """``(entity, term, ratio)`` of pairs with PMI / IC >= ``alpha``; found in enough texts.
-
-    A text that is in the corpus several times counts each time, for the term alone and
-    beside the entity, so the copies of a text decide nothing. Support counts texts once.
-    """
-    copies = docs.select(F.md5(whole_text(f"`{text_column}`")).alias("text_id")).groupBy(
-        "text_id").agg(F.count(F.lit(1)).alias("copies"))
-    # One row per text and entity or term beside it, so copies and repeats are weights.
-    held = found.where(F.size("base") > 0).join(copies, "text_id").select(
-        "text_id", "copies", "base", "near")
-    held = stored(held)
-    entities = held.select("copies", F.explode("base.value").alias("entity")).groupBy(
-        "entity").agg(F.sum("copies").alias("shown"))
-    pairs = held.select("copies", F.explode("near").alias("x")).groupBy(
-        "x.entity", "x.term").agg(F.sum("copies").alias("together"),
-                                  F.count(F.lit(1)).alias("met"))
-    # A text counts once for support.
-    texts = held.select("text_id", F.explode(F.array_distinct(F.transform(
-        "near", lambda x: F.struct(x.getField("entity").alias("entity"),
-                                   x.getField("term").alias("term"))))).alias("x")).groupBy(
-        "x.entity", "x.term").agg(F.count(F.lit(1)).alias("texts")).where(
-        F.col("texts") >= support)
-    wide = stored(pairs.join(texts, ["entity", "term"]).join(entities, "entity"))
-    uses = stored(term_counts(docs, text_column))
-    total = uses.agg(F.sum("uses").alias("total"))
-    joined = wide.join(uses, "term").join(total)  # one row
-    given = F.least(F.col("together") / F.col("uses"), F.lit(1.0))
-    rare = -F.log(F.least(F.col("shown") / F.col("total"), F.lit(1.0)))
-    ratio = F.when(rare > 0, 1 + F.log(given) / rare)
-    out = stored(joined.select("entity", "term", ratio.alias("ratio")).where(
-        F.col("ratio") >= alpha))
-    drop_stored(held, wide, uses)
-    return out
-
-
 def _words(text: Column) -> Column:
     words = F.regexp_extract_all(text, F.lit(ANY_WORD), F.lit(0))
     return F.array_distinct(F.transform(words, F.lower))
 
 
-def disclosing_in_documents(docs: DataFrame, found: DataFrame, alpha: float, support: int,
+def disclosing_terms(docs: DataFrame, found: DataFrame, alpha: float, support: int,
                             text_column: str = "text") -> DataFrame:
     """``(text_id, term, ratio)``: terms that disclose an entity of the text, by documents.
 
@@ -309,21 +229,14 @@ def _replaced(text: Column, spans: Column) -> Column:
 
 
 def sanitise(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT,
-             text_column: str = "text", reach: int | None = REACH) -> DataFrame:
+             text_column: str = "text") -> DataFrame:
     """Add ``base_spans``, ``term_spans`` and ``sanitised`` to the documents.
 
     Spans are ``(kind, start, end, value, ratio)``, base ones by kind and start, terms by start.
     """
-    found = findings(docs, text_column, reach)
-    if reach is None:
-        near = terms = disclosing_in_documents(docs, found, alpha, support, text_column)
-        hit = _all_places(found, terms)
-    else:
-        terms = disclosing_terms(docs, found, alpha, support, text_column)
-        near = stored(found.where("near is not null").select(
-            "text_id", F.explode("near").alias("x")).select("text_id", "x.*"))
-        hit = near.join(terms, ["entity", "term"]).groupBy(
-            "text_id", "start", "end", "term").agg(F.max("ratio").alias("ratio"))
+    found = findings(docs, text_column)
+    terms = disclosing_terms(docs, found, alpha, support, text_column)
+    hit = _all_places(found, terms)
     spans = stored(hit.groupBy("text_id").agg(F.array_sort(F.collect_list(F.struct(
         F.lit("term").alias("kind"), "start", "end", F.col("term").alias("value"), "ratio")))
         .alias("term_spans")))
@@ -334,7 +247,7 @@ def sanitise(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT,
                           "ratio: double>>")
     known = stored(found.join(spans, "text_id", "left").select(
         "text_id", base.alias("base_spans"), F.coalesce("term_spans", none).alias("term_spans")))
-    drop_stored(near, spans, found, terms)
+    drop_stored(spans, found, terms)
     key = fresh_name(docs, "text_id")
     outputs = ["base_spans", "term_spans", "sanitised"]
     rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in outputs]).withColumn(

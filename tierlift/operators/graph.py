@@ -244,15 +244,15 @@ def _move_until_stable(arcs: DataFrame, two_m: float, start: DataFrame) -> tuple
     any_move, turn = False, 0
     while True:
         trials = cut_lineage(_trials(state, _moves(state, outward, two_m), turn))
-        before, *scores = _scores(trials, outward, loops, two_m)
+        movers, (before, *scores) = _scores(trials, outward, loops, two_m)
+        if not movers:
+            return state.select("node", "community"), any_move
         best = max(range(len(scores)), key=scores.__getitem__)
         turn += 1
         if scores[best] > before + TOLERANCE:
             state = trials.select("node", "k", F.col("trial")[best + 1].alias("community"))
         else:
             first = trials.where("gain is not null").orderBy(F.col("gain").desc(), "node").first()
-            if first is None:
-                return state.select("node", "community"), any_move
             state = cut_lineage(state.withColumn("community", F.when(
                 F.col("node") == first["node"], F.lit(first["trial"][1])).otherwise(
                 F.col("community"))))
@@ -297,8 +297,9 @@ def _trials(state: DataFrame, moves: DataFrame, turn: int) -> DataFrame:
         "node", "k", F.array(stay, *sets, across).alias("trial"), "gain")
 
 
-def _scores(trials: DataFrame, outward: DataFrame, loops: float, two_m: float) -> list[float]:
-    """The modularity now and after each trial: two small rows come to the driver."""
+def _scores(trials: DataFrame, outward: DataFrame, loops: float,
+            two_m: float) -> tuple[int, list[float]]:
+    """Nodes with a move, and the modularity now and after each trial; one row each is joined."""
     n = len(SHARES) + 2
     ends = outward.join(trials.select(F.col("node").alias("u"), F.col("trial").alias("tu")), "u").join(
         trials.select(F.col("node").alias("v"), F.col("trial").alias("tv")), "v")
@@ -309,8 +310,9 @@ def _scores(trials: DataFrame, outward: DataFrame, loops: float, two_m: float) -
         .agg(F.sum("k").alias("tot"))
         .agg(*[F.sum(F.when(F.col("i") == i, F.col("tot") * F.col("tot"))).alias(f"s{i}")
                for i in range(n)]))
-    row = inside.join(squares).first()
-    return [((row[f"i{i}"] or 0.0) + loops) / two_m - (row[f"s{i}"] or 0.0) / two_m ** 2
+    movers = trials.agg(F.count("gain").alias("movers"))
+    row = inside.join(squares).join(movers).first()
+    return row["movers"], [((row[f"i{i}"] or 0.0) + loops) / two_m - (row[f"s{i}"] or 0.0) / two_m ** 2
             for i in range(n)] if two_m else [0.0] * n
 
 

@@ -186,6 +186,14 @@ def test_spread_only_when_splits_are_few(spark):
     assert spread(many, "id").rdd.getNumPartitions() == cores * 2
 
 
+def test_spread_makes_more_parts_of_a_larger_table(spark, tmp_path):
+    rows = spark.range(60_000).select(F.lit(None).cast("bigint").alias("id"), F.col("id").alias("x"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "t"))
+    parts = spread(spark.read.parquet(str(tmp_path / "t")), "id", "x")
+    held = parts.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in held) == 60_000 and max(r["count"] for r in held) < 4_000
+
+
 def test_broadcast_hint_only_below_the_limit(spark):
     df = spark.range(10)
     hinted = broadcast_if_small(df, 10)._jdf.queryExecution().logical().toString()

@@ -186,6 +186,17 @@ def test_spread_only_when_splits_are_few(spark):
     assert spread(many, "id").rdd.getNumPartitions() == cores * 2
 
 
+def test_terms_are_counted_in_parts_that_grow_with_the_documents(spark):
+    docs = spark.range(40_000).select(
+        F.col("id").alias("doc_id"), F.lit(True).alias("label"), F.lit("welding glazing").alias("clean"))
+    terms = text_terms.document_terms(docs)
+    assert terms.rdd.getNumPartitions() >= 20
+    held = terms.groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in held) < 12_000
+    weights = text_terms.tfidf(terms, spark.createDataFrame([("welding", 40_000)], "term string, df long"), 40_000)
+    assert weights.rdd.getNumPartitions() >= 20 and weights.count() == 40_000
+
+
 def test_spread_makes_more_parts_of_a_larger_table(spark, tmp_path):
     rows = spark.range(60_000).select(F.lit(None).cast("bigint").alias("id"), F.col("id").alias("x"))
     rows.coalesce(1).write.parquet(str(tmp_path / "t"))

@@ -1,9 +1,11 @@
+import gzip
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tierlift.operators import normalise, profiling
+from tierlift.plans import queries
 from tierlift.sources import raw_json
 
 
@@ -126,6 +128,30 @@ def test_a_page_too_large_is_an_error(spark, tmp_path, monkeypatch):
         raw_json.bad_files(raw_json.read_pages(spark, str(tmp_path))).collect()
 
 
+def test_compressed_pages_and_the_limit(spark, tmp_path, monkeypatch):
+    with gzip.open(tmp_path / "1.json.gz", "wt") as f:
+        f.write('[{"user_id": 4}, {"user_id": 5}]')
+    with gzip.open(tmp_path / "2.json.gz", "wt") as f:
+        f.write("[" + '{"user_id": 4},' * 1000)
+    pages = raw_json.read_pages(spark, str(tmp_path))
+    assert raw_json.explode_records(pages).count() == 2
+    assert raw_json.file_counts(pages).first()["malformed_files"] == 1
+    # The compressed file is below the limit, its text above it.
+    monkeypatch.setattr(raw_json, "PAGE_LIMIT", 10_000)
+    with pytest.raises(Exception, match="page too large"):
+        raw_json.bad_files(raw_json.read_pages(spark, str(tmp_path))).collect()
+
+
+def test_bad_files_has_two_files_for_each_document(spark, tmp_path, monkeypatch):
+    rows = [(i, f"some words {i}\nand a line", "en", "a", 20) for i in range(250)]
+    spark.createDataFrame(
+        rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(
+        str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(queries, "FOLDERS_READ", 3)
+    got = queries.bad_files(spark, str(tmp_path)).collect()
+    assert list(map(tuple, got)) == [(500, 250, 250)]
+
+
 def test_stream_resumes_and_equals_the_batch(spark, tmp_path, monkeypatch):
     from tierlift.streaming import incremental
     pages, state = tmp_path / "pages", tmp_path / "state"

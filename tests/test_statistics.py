@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tierlift.functions import association as assoc
 from tierlift.operators import bundles as mining
-from tierlift.operators import regression
+from tierlift.operators import item_stats, regression
 from tierlift.operators import region_bundles as regional
 from tierlift.operators.quantiles import aggregate_with_quantiles
 from tierlift.operators.running import running
@@ -308,3 +308,16 @@ def test_running_across_blocks(spark):
         assert up[(k, t)] == sum(v for a, v in mine if a <= t)
         later = [v for a, v in mine if a > t]
         assert down[(k, t)] == (min(later) if later else None)
+
+
+def test_item_statistics_join_links_once(spark):
+    entities = spark.createDataFrame(
+        [(e, float(e), float(e), 1.0, 1, e > 3) for e in range(6)],
+        "entity_id long, metric double, log_metric double, rate double, item_count long, "
+        "is_top boolean")
+    links = spark.createDataFrame([(e, 1, "x") for e in range(5)],
+                                  "entity_id long, item_id long, item_name string")
+    out = item_stats.item_statistics(entities, links, 2)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    row = out.first()
+    assert (row["entity_count"], row["median_metric"], row["top_rate"]) == (5, 2.0, 0.2)

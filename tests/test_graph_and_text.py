@@ -245,3 +245,16 @@ def test_topics_are_complete_and_empty_documents_fall_to_the_first(spark):
     assert (table.median_metric[table.entity_count == 0] == 0).all()
     empty = text_terms.dominant_topic(shares).where("doc_id = 99").first()
     assert empty["topic"] == 0
+
+
+def test_stored_terms_are_not_made_again(spark, monkeypatch):
+    docs = spark.createDataFrame(
+        [(i, i % 2 == 0, "red apple tree" if i % 2 else "blue apple sky") for i in range(40)],
+        "doc_id long, label boolean, clean string")
+    stored = cut_lineage(text_terms.document_terms(docs))
+    want = text_terms.differential_terms(docs, min_df=2).orderBy("term").collect()
+    _, words, _ = text_terms.fit_topics(docs, 2, min_df=2, epochs=1, share=1.0)
+    monkeypatch.setattr(text_terms, "document_terms", None)
+    assert text_terms.differential_terms(docs, min_df=2, terms=stored).orderBy("term").collect() == want
+    assert text_terms.fit_topics(
+        docs, 2, min_df=2, epochs=1, share=1.0, terms=stored)[1] == words

@@ -1,6 +1,7 @@
 """Token files and the trie encoder against the tokenizers library."""
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -117,3 +118,23 @@ def test_trie_query_and_columns(spark, small, library):
     assert {(r.text, r.decoded, r.row) for r in coded.collect()} == {
         (None, "", "keep"), ("a b", "a b", "keep")}
     assert coded.select(F.octet_length("ids")).distinct().count() == 2
+
+
+def test_memory_of_an_encoder_is_bounded(library):
+    """Its tables, and what a slice of many different words takes besides the ids and memos."""
+    rnd = random.Random(3)
+    texts = ["".join(f" {rnd.randrange(36 ** 6):x}" for _ in range(200)) for _ in range(4_000)]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts)})
+    tracemalloc.start()
+    try:
+        trie = bpe.TrieEncoder(TOKENIZER)
+        tables = tracemalloc.get_traced_memory()[0]
+        tracemalloc.reset_peak()
+        slices = [*bpe.text_slices(iter([batch]), "text", bpe.SLICE_BYTES)]
+        ids = [bytes(x) for x in trie.encode(slices[0].column("text"))]
+        peak = tracemalloc.get_traced_memory()[1] - tables
+    finally:
+        tracemalloc.stop()
+    assert tables < 50 << 20
+    assert len(slices) > 1 and peak < 150 << 20
+    assert ids[:20] == encoded(library, texts[:20])

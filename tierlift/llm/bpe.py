@@ -19,6 +19,7 @@ the same name.
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,8 @@ from tierlift.llm.pieces import encode_texts
 WORDS = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
+# Text that is encoded at once; its different words and their ids take many times as much.
+SLICE_BYTES = 2 << 20
 # Pairs of tokens a worker remembers between slices, about 100 bytes each.
 AGREED = 500_000
 
@@ -64,62 +67,55 @@ class TrieEncoder:
             self.token_bytes[i] = as_bytes[t]
         for t, i in self.special.items():
             self.token_bytes[i] = t.encode()
-        # merge[(left, right)] = (rank, merged); tree[merged] = (left, right, rank)
-        self.merge: dict[tuple[int, int], tuple[int, int]] = {}
-        self.tree: dict[int, tuple[int, int, int]] = {}
+        # merge[left << 32 | right] = rank; left, right and rank: how a token is merged, or -1.
+        self.merge: dict[int, int] = {}
+        self.left, self.right, self.rank = (array("i", [-1]) * size for _ in range(3))
         for rank, pair in enumerate(model["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
             a, b, c = vocab[left], vocab[right], vocab[left + right]
-            if max(self._rank(a), self._rank(b)) >= rank:
+            if max(self.rank[a], self.rank[b]) >= rank:
                 raise ValueError("a merge uses a token that a later merge makes")
-            self.merge[a, b] = rank, c
-            self.tree.setdefault(c, (a, b, rank))
+            self.merge[a << 32 | b] = rank
+            if self.rank[c] < 0:
+                self.left[c], self.right[c], self.rank[c] = a, b, rank
         self.byte_token = [vocab[c] for c, _ in sorted(byte_of.items(), key=lambda x: x[1])]
-        self.right_edge = [self._edge(i, 1) for i in range(size)]
-        self.left_edge = [self._edge(i, 0) for i in range(size)]
         self.agreed: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
         # Only tokens that BPE makes of their own bytes can occur in an encoding.
-        whole = {i for i in vocab.values()
-                 if i not in self.tree or self.agree(*self.tree[i][:2], below=self.tree[i][2])}
+        left, right, rank = self.left, self.right, self.rank
         stable: dict[bytes, int] = {}
-        known: dict[int, bool] = {}
-        for i in sorted(vocab.values(), key=self._rank):
-            parts = self.tree.get(i)
-            known[i] = i in whole and (parts is None or known[parts[0]] and known[parts[1]])
+        known = bytearray(size)
+        for i in sorted(vocab.values(), key=rank.__getitem__):
+            known[i] = rank[i] < 0 or bool(known[left[i]] and known[right[i]] and self.agree(
+                left[i], right[i], below=rank[i]))
             if known[i]:
                 stable[self.token_bytes[i]] = i
         self.token_of = stable
         self.longest = max(map(len, stable))
+        self.lengths = [len(t) for t in self.token_bytes]
         self.table = pa.array(self.token_bytes, type=pa.binary())
 
-    def _rank(self, token: int) -> int:
-        return self.tree[token][2] if token in self.tree else -1
-
-    def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
-        """Tokens on one edge of the merge tree, each with the rank of the merge that took it."""
-        out, taken = [], 1 << 60
-        while True:
-            out.append((token, taken))
-            if token not in self.tree:
-                return out
-            taken = self.tree[token][2]
-            token = self.tree[token][side]
-
     def agree(self, a: int, b: int, below: int = 1 << 60) -> bool:
         """Whether BPE leaves the border between two tokens (up to rank ``below``)."""
-        for x, x_taken in self.right_edge[a]:
-            for y, y_taken in self.left_edge[b]:
-                found = self.merge.get((x, y))
+        merge, left, right, rank = self.merge, self.left, self.right, self.rank
+        # Tokens on an edge of a merge tree, each with the rank of the merge that took it.
+        edge, y, y_taken = [], b, 1 << 60
+        while y >= 0:
+            edge.append((y, y_taken))
+            y, y_taken = left[y], rank[y]
+        x, x_taken = a, below
+        while x >= 0:
+            for y, y_taken in edge:
+                found = merge.get(x << 32 | y)
                 # Of equal merges the left one comes first.
-                if found and found[0] < below and found[0] < x_taken and found[0] <= y_taken:
+                if found is not None and found < below and found < x_taken and found <= y_taken:
                     return False
+            x, x_taken = right[x], rank[x]
         return True
 
     def words(self, words: list[bytes]) -> list[list[int]]:
         """Ids of sorted distinct words."""
-        token_of, longest, agreed = self.token_of, self.longest, self.agreed
-        lengths = [len(t) for t in self.token_bytes]
+        token_of, longest, agreed, lengths = self.token_of, self.longest, self.agreed, self.lengths
         last = [-1]
         before = b""
         out = []
@@ -222,7 +218,7 @@ def encode(docs: DataFrame, tokenizer_path: str, text_column: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = trie_encoder(tokenizer_path)
         try:
-            for batch in text_slices(batches, work):
+            for batch in text_slices(batches, work, SLICE_BYTES):
                 coded = encoder.encode(batch.column(work))
                 columns = {"row": batch.column("row"),
                            ids: pa.array([bytes(c) for c in coded], type=pa.binary())}

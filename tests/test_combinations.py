@@ -71,3 +71,25 @@ def test_pairs_and_triples_are_not_joined(spark):
     seeds = spark.createDataFrame([(1, 2)], "i int, j int")
     assert "Join" not in plan_of(mining.pair_counts(coded, 1))
     assert "Join" not in plan_of(mining.triple_counts(coded, seeds, 1))
+
+
+@pytest.mark.parametrize("tile", [None, 2, 512])
+def test_triples_of_all_pairs_in_parts(spark, tile):
+    coded = spark.createDataFrame(ROWS, "entity_id long, r int, top int, region string")
+    seeds = sorted({k[-2:] for k in brute(ROWS, by_region=False)})
+    got = {tuple(r)[:-2]: tuple(r)[-2:] for r in mining.triple_counts(
+        coded, spark.createDataFrame(seeds, "i int, j int"), 1, by=("region",),
+        tile_items=tile).collect()}
+    assert got == brute(ROWS, seeds)
+
+
+def test_triples_extend_all_frequent_pairs(spark):
+    """Only the 300 most frequent pairs were extended."""
+    entities = spark.createDataFrame([(e, e % 10 == 0) for e in range(30)],
+                                     "entity_id long, is_top boolean")
+    links = spark.createDataFrame([(e, f"item {k:02d}") for e in range(30) for k in range(26)],
+                                  "entity_id long, item_name string")
+    sizes = [r["bundle_size"] for r in mining.mine_bundles(entities, links).collect()]
+    assert sizes.count(2) == 26 * 25 // 2 and sizes.count(3) == 26 * 25 * 24 // 6
+    limited = mining.mine_bundles(entities, links, seeds=300).collect()
+    assert 0 < sum(r["bundle_size"] == 3 for r in limited) < 26 * 25 * 24 // 6

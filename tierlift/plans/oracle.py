@@ -235,6 +235,11 @@ fdr AS (
                               AND CURRENT ROW) AS rank FROM bundles))
 """
 
+# Triples of all frequent pairs.
+ALL_BUNDLES = BUNDLES.replace(
+    "seeds AS (SELECT i, j FROM pairs ORDER BY n DESC, i, j LIMIT 300)",
+    "seeds AS (SELECT i, j FROM pairs)")
+
 REGIONAL = MINING + f""",
 regions AS (
   SELECT region, count(*) AS region_entities, count(*) FILTER (WHERE is_top) AS region_top
@@ -629,7 +634,7 @@ JOIN (SELECT r, item_name FROM items) z ON z.r = p.k""",
 SELECT bundle_name, bundle_items, bundle_size, entity_count, support, expected_prevalence, lift,
        top_count, top_rate, top_lift, odds_ratio, round(ci_lower, 6) AS ci_lower,
        round(ci_upper, 6) AS ci_upper, chi2 FROM bundles""",
-    "bundle_fdr": f"""WITH {BUNDLES}
+    "bundle_fdr": f"""WITH {ALL_BUNDLES}
 SELECT bundle_name, round(p_value, 9) AS p_value, round(adjusted_p_value, 9) AS adjusted_p_value,
        adjusted_p_value < 0.05 AS is_significant FROM fdr""",
     "bundle_evidence": f"""WITH {BUNDLES}
